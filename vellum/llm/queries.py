@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import chat, licences, quality, urls
+from vellum.llm import chat, classlm, decontam, licences, minhash, pieces, pii, quality, toxicity, urls
 from vellum.llm._stage import ship
 from vellum.llm.sql import ORACLES
 
@@ -32,6 +32,26 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_examples(chat.expand_turns(turns))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,7 +61,13 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), listed).drop("listed")
 
 
-QUERIES: dict[str, Query] = {"op1_licences": op1_licences, "op2_chat": op2_chat, "op8_quality": op8_quality, "op9_urls": op9_urls}
+def op10_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_licences, op2_chat, op3_pieces, op4_pii, op5_minhash, op6_toxicity, op7_decontam, op8_quality, op9_urls, op10_classlm)
+}
 
 
 def oracles() -> dict[str, str]:
