@@ -100,7 +100,7 @@ _N = "total || ' required skill' || CASE WHEN total <> 1 THEN 's' ELSE '' END"
 EMAILS = f"len(regexp_extract_all(text, '{EMAIL}'))"
 
 ORACLES: dict[str, str] = {
-    "screen_documents": q("SELECT rank, candidate_id, round(final_score, 4) AS final_score, verdict, headline, recommendation FROM final"),
+    "screen_documents": q("SELECT rank, candidate_id, printf('%.4f', final_score)::DOUBLE AS final_score, verdict, headline, recommendation FROM final"),
     "redact_email": f"SELECT doc_id, sha256(regexp_replace(text, '{EMAIL}', '[EMAIL_REDACTED]', 'g')) AS text_sha256, {EMAILS}::BIGINT AS n FROM documents",
     "redact_dates": f"""WITH a AS (SELECT doc_id, regexp_replace(text, '{FULL_DATE}', '[DATE_REDACTED]', 'g') AS t, len(regexp_extract_all(text, '{FULL_DATE}')) AS n FROM documents)
 SELECT doc_id, sha256(regexp_replace(t, '{NAMED}', '[DATE_REDACTED]', 'g')) AS text_sha256, (n + len(regexp_extract_all(t, '{NAMED}')))::BIGINT AS n FROM a""",
@@ -124,15 +124,15 @@ FROM documents d CROSS JOIN job j LEFT JOIN has h ON h.doc_id = d.doc_id AND h.w
   CASE WHEN len(matched) = total THEN 'Matched all ' || {_N} ELSE 'Matched ' || len(matched) || ' of ' || {_N} END AS keyword_note,
   CASE WHEN semantic_score >= 0.8 THEN 'Excellent' WHEN semantic_score >= 0.6 THEN 'Good' WHEN semantic_score >= 0.4 THEN 'Fair' ELSE 'Poor' END AS semantic_label FROM final"""),
     "verdict_histogram": q("""SELECT count(*) AS n, count(*) FILTER (WHERE verdict = 'Strong Match') AS n_strong, count(*) FILTER (WHERE verdict = 'Good Match') AS n_good,
-  count(*) FILTER (WHERE verdict = 'Partial Match') AS n_partial, count(*) FILTER (WHERE verdict = 'Weak Match') AS n_weak, round(avg(round(final_score, 4)), 6) AS avg_score,
+  count(*) FILTER (WHERE verdict = 'Partial Match') AS n_partial, count(*) FILTER (WHERE verdict = 'Weak Match') AS n_weak, round(avg(printf('%.4f', final_score)::DOUBLE), 6) AS avg_score,
   count(*) FILTER (WHERE verdict IN ('Strong Match', 'Good Match')) AS n_recommended, round(count(*) FILTER (WHERE verdict IN ('Strong Match', 'Good Match'))::DOUBLE / count(*), 6) AS recommended_share FROM judged"""),
-    "score_distribution": q("SELECT 'score_distribution' AS check_id, false AS flagged, round(min(final_score), 4) AS min, round(max(final_score), 4) AS max, round(avg(final_score), 4) AS mean, round(stddev_pop(final_score), 4) AS stddev, round(max(final_score) - min(final_score), 4) AS spread FROM ranked"),
+    "score_distribution": q("SELECT 'score_distribution' AS check_id, false AS flagged, printf('%.4f', min(final_score))::DOUBLE AS min, printf('%.4f', max(final_score))::DOUBLE AS max, printf('%.4f', avg(final_score))::DOUBLE AS mean, printf('%.4f', stddev_pop(final_score))::DOUBLE AS stddev, printf('%.4f', max(final_score) - min(final_score))::DOUBLE AS spread FROM ranked"),
     "score_compression": flag("score_compression", "Score Compression", "n >= 2 AND spread < 0.10"),
     "quality_spread": flag("quality_score_spread", "CV Quality Score Influence", "n >= 2 AND wide > 0.50"),
     "skill_gap": flag("skill_gap_disparity", "Skill-Gap Disparity", "zero > 0"),
     "semantic_gap": flag("semantic_keyword_gap", "Semantic vs Keyword Gap", "far", "top"),
     "parsed_coverage": flag("parsed_coverage", "Parsed Data Coverage", "lost > 0"),
-    "experience_correlation": q("SELECT 'experience_correlation' AS check_id, n >= 3 AND abs(r) > 0.85 AS flagged, round(r, 4) AS pearson_r, n AS candidates_analysed, CASE WHEN r < 0 THEN 'higher' ELSE 'lower' END AS correlation_direction FROM r", CHECKS),
+    "experience_correlation": q("SELECT 'experience_correlation' AS check_id, n >= 3 AND abs(r) > 0.85 AS flagged, printf('%.4f', r)::DOUBLE AS pearson_r, n AS candidates_analysed, CASE WHEN r < 0 THEN 'higher' ELSE 'lower' END AS correlation_direction FROM r", CHECKS),
     "zero_match": q("SELECT candidate_id, rank, len(matched)::INT AS matched_count, len(missing)::INT AS missing_count, total::INT AS jd_skill_count FROM ranked WHERE len(matched) = 0 AND total > 0"),
     "bias_summary": q("""SELECT 7::BIGINT AS total_checks, f AS flags_raised, f > 0 AS overall_flag, CASE WHEN f > 0 THEN 'BIAS RISK DETECTED' ELSE 'NO BIAS SIGNALS DETECTED' END AS overall_label
 FROM (SELECT (a.n >= 2 AND spread < 0.10)::BIGINT + (a.n >= 2 AND wide > 0.50)::BIGINT + (zero > 0)::BIGINT + far::BIGINT + (lost > 0)::BIGINT + (r.n >= 3 AND abs(r.r) > 0.85)::BIGINT AS f FROM a, top, r)""", CHECKS),
@@ -162,8 +162,8 @@ FROM (SELECT (a.n >= 2 AND spread < 0.10)::BIGINT + (a.n >= 2 AND wide > 0.50)::
   (6, 'article_30', true, 'Full audit log generated at audit/audit_log.json (run ID: RUN_1). Records of all processing activities are maintained.')) AS x(ord, article, satisfied, evidence)"""),
     "prev_next": q("SELECT candidate_id, rank, lag(candidate_id) OVER (ORDER BY rank) AS prev_id, lead(candidate_id) OVER (ORDER BY rank) AS next_id FROM ranked"),
     "verdict_filter": q("SELECT candidate_id, rank FROM judged WHERE verdict = 'Weak Match'"),
-    "csv_export": q("""SELECT rank::VARCHAR AS "Rank", candidate_id AS "Candidate ID", printf('%.4f', round(final_score, 4)) AS "Final Score", verdict AS "Verdict", printf('%.4f', round(semantic_score, 4)) AS "Semantic Score",
-  printf('%.4f', round(keyword_score, 4)) AS "Keyword Score", printf('%.4f', round(quality_score, 4)) AS "Quality Score", array_to_string(matched, '; ') AS "Matched Skills", array_to_string(missing, '; ') AS "Missing Skills",
+    "csv_export": q("""SELECT rank::VARCHAR AS "Rank", candidate_id AS "Candidate ID", printf('%.4f', final_score) AS "Final Score", verdict AS "Verdict", printf('%.4f', semantic_score) AS "Semantic Score",
+  printf('%.4f', keyword_score) AS "Keyword Score", printf('%.4f', quality_score) AS "Quality Score", array_to_string(matched, '; ') AS "Matched Skills", array_to_string(missing, '; ') AS "Missing Skills",
   recommendation AS "Recommendation" FROM final"""),
     "latest_run": "SELECT strftime(ts, '%Y-%m-%d') AS run_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS started_at, count(*) AS total_cvs FROM events GROUP BY 1 ORDER BY started_at DESC, run_id DESC LIMIT 20",
     "upsert_merge": """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 3 <> 0 THEN 'old' ELSE 'new' END AS first_seen
