@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
