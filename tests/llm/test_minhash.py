@@ -3,8 +3,10 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from vellum.llm import minhash
+from vellum.llm._stage import Scratch
 
 WORD = re.compile(r"[^ \t-\r]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -56,3 +58,16 @@ def test_components_both_ways(spark, few):
 def test_stars_bound_edges(spark):
     members = spark.createDataFrame([(1, n) for n in range(500)] + [(2, 7)], "key long, node long")
     assert minhash._stars(minhash._centred(members)).count() <= 2 * 500
+
+
+def test_settled_members_meet_the_rest(spark):
+    """In one bucket: a node is similar to another that the centre has already settled, and to no centre."""
+    shifted = [" ".join(f"w{n}" for n in range(k, k + 104)) for k in (0, 12, 24, 36)]
+    texts = [*shifted, *(" ".join(f"{c}{n}" for n in range(104)) for c in "pq")]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    kinds = own.mapInArrow(minhash._sketch, minhash.SETS).select(F.col("rid").alias("node"), "s1", "s2")
+    nodes = [r["node"] for r in kinds.collect()]
+    centred = minhash._centred(spark.createDataFrame([(1, n) for n in nodes], "key long, node long"))
+    with Scratch(spark) as scratch:
+        links = {(r["a"], r["b"]) for r in minhash._links(own, kinds, centred, scratch).collect()}
+    assert links == {(nodes[k], nodes[k + 1]) for k in range(3)}

@@ -7,7 +7,10 @@
    its greatest node: edges in proportion to its members, whatever its size.
 4. An edge becomes a link when the full sets pass 100 * intersection >= 75 * union. Members of a bucket that are in no
    component with a centre yet meet again without the centres, until a round finds no new link.
-5. Links are joined into components by least-label propagation with pointer jumping.
+5. Buckets that still hold members of several components yield every other pair across components, less those that the
+   sizes, the distances to the centres (a metric) or parities of the sets rule out; all three are true bounds. So each two nodes that share a bucket are in one component
+   or are known not to be similar.
+6. Links are joined into components by least-label propagation with pointer jumping.
 
 A pair with similarity 0.75 shares no bucket with probability (1 - 0.75**5)**45, 5 in a million.
 """
@@ -30,6 +33,10 @@ BINS = ROWS * BANDS
 U64 = np.uint64
 #: log2 of the bits of the table that says whose sets are needed.
 NEED_BITS = 22
+#: Members of a bucket that meet the others' components in one group.
+CHUNK = 256
+#: 64-bit words of a set's parity bits. Two sets differ in at least as many shingles as parity bits.
+PARITIES = 16
 #: The most links that one task joins into components.
 FEW_LINKS = 1 << 18
 SETS = "rid long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
@@ -76,6 +83,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Of each of 64 * PARITIES groups that a hash makes, whether the set holds an odd number."""
+    group = (mix(shingles) % U64(64 * PARITIES)).astype(np.int64)
+    odd = (np.bincount(group, minlength=64 * PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         n = U64(len(shingles))
@@ -116,11 +130,11 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _needed(bits: np.ndarray):
-    """Of batches (text), the sets whose digest hits the table: s1, s2, shingles."""
+    """Of batches (text), the sets whose digest hits the table: s1, s2, shingles, odd (their parities)."""
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
-                s1, s2, flat, lens = [], [], [], [0]
+                s1, s2, flat, lens, odd = [], [], [], [0], []
                 for _, shingles in _sets(batch.slice(lo, 512)):
                     if not len(shingles):
                         continue
@@ -130,10 +144,12 @@ def _needed(bits: np.ndarray):
                         s1.append(a)
                         s2.append(b)
                         flat.append(signed(shingles))
+                        odd.append(parities(shingles))
                         lens.append(lens[-1] + len(shingles))
                 if s1:
                     sets = pa.ListArray.from_arrays(pa.array(lens, pa.int32()), pa.array(np.concatenate(flat)))
-                    yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), sets], names=["s1", "s2", "shingles"])
+                    odds = pa.ListArray.from_arrays(pa.array(range(0, PARITIES * len(odd) + 1, PARITIES), pa.int32()), pa.array(np.concatenate(odd)))
+                    yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), sets, odds], names=["s1", "s2", "shingles", "odd"])
 
     return of
 
@@ -150,13 +166,43 @@ def _stars(centred: DataFrame) -> DataFrame:
     return centred.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a < b").distinct()
 
 
+def _apart(centred: DataFrame, roots: DataFrame, done: DataFrame, sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Distinct edges (a, b), a < b, between members of a bucket in different components that may pass and are not in done.
+
+    centred: the buckets of the first round, whose members done compares with both centres. Every such pair has an end
+    outside the bucket's largest component, so these ends meet all members, which are dealt out in chunks.
+    """
+    own = centred.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = own.groupBy("key", "root").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("members"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = own.join(parts.select("key", F.col("top.root").alias("top"), F.ceil(F.col("members") / CHUNK).cast("int").alias("chunks")), "key").join(sizes, "node")
+    for end in ("lo", "hi"):
+        near = done.select(F.col("a" if end == "lo" else "b").alias(end), F.col("b" if end == "lo" else "a").alias("node"), F.col("ratio").alias(f"{end}_ratio"))
+        mixed = mixed.join(near, [end, "node"], "left").withColumn(f"{end}_ratio", F.coalesce(f"{end}_ratio", F.lit(1.0)))
+    mixed = scratch.write(mixed.select("key", "node", "root", "top", "chunks", "size", "odd", "lo_ratio", "hi_ratio"), "mixed")
+    left = mixed.where("root != top").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "top", "size", "odd", "lo_ratio", "hi_ratio")), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    right = mixed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop("chunks", "top")
+    apart = (F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("x_top")) | (F.col("x_node") < F.col("node")))
+    apart &= 100 * F.least("size", "x_size") >= PERCENT * F.greatest("size", "x_size")
+    for end in ("lo", "hi"):
+        apart &= F.abs(F.col(f"{end}_ratio") - F.col(f"x_{end}_ratio")) <= 1 - PERCENT / 100 + 1e-9
+    unlike = sum((F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("x_odd")[k])) for k in range(PARITIES)), F.lit(0))
+    both = F.col("size") + F.col("x_size")
+    apart &= (100 + PERCENT) * (both - unlike) >= 2 * PERCENT * both
+    pairs = left.join(right, ["key", "chunk"]).where(apart)
+    pairs = pairs.select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b")).distinct()
+    return pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def _verify(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """edges (a, b) with linked, by the full sets."""
+    """edges (a, b) with ratio and linked, by the full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     near = edges.join(right, "b").join(left, "a")
     same = F.size(F.array_intersect("sa", "sb"))
-    return near.select("a", "b", same.alias("same"), (F.size("sa") + F.size("sb")).alias("both")).select("a", "b", (100 * F.col("same") >= PERCENT * (F.col("both") - F.col("same"))).alias("linked"))
+    near = near.select("a", "b", same.alias("same"), (F.size("sa") + F.size("sb")).alias("both"))
+    union = F.col("both") - F.col("same")
+    return near.select("a", "b", (F.col("same") / union).alias("ratio"), (100 * F.col("same") >= PERCENT * union).alias("linked"))
 
 
 def _union(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,17 +272,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def _links(own: DataFrame, kinds: DataFrame, centred: DataFrame, scratch: Scratch) -> DataFrame:
-    """Verified links (a, b) between nodes, round after round of stars."""
+    """Verified links (a, b) between nodes: rounds of stars, then the pairs that these left open."""
     nodes = scratch.write(centred.select("node").distinct().join(kinds, "node").select("node", "s1", "s2"), "nodes")
     bits = np.zeros(1 << (NEED_BITS - 6), U64)
     place = F.shiftrightunsigned("s1", 64 - NEED_BITS)
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
     for word, found in nodes.groupBy(F.shiftrightunsigned(place, 6).alias("w")).agg(F.bit_or(mask).alias("m")).collect():
         bits[word] = found & (2**64 - 1)
-    found = own.select("doc_id", "text").mapInArrow(_needed(bits), "s1 long, s2 long, shingles array<long>")
-    found = found.groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"))
-    sets = scratch.write(found.join(nodes, ["s1", "s2"]).select("node", "shingles"), "sets")
-    done, k = None, 0
+    found = own.select("doc_id", "text").mapInArrow(_needed(bits), "s1 long, s2 long, shingles array<long>, odd array<long>")
+    found = found.groupBy("s1", "s2").agg(F.first("shingles").alias("shingles"), F.first("odd").alias("odd"))
+    sets = scratch.write(found.join(nodes, ["s1", "s2"]).select("node", "shingles", "odd", F.size("shingles").alias("size")), "sets")
+    buckets, done, k, roots = centred, None, 0, None
     while True:
         edges = _stars(centred)
         if done is not None:
@@ -244,8 +290,8 @@ def _links(own: DataFrame, kinds: DataFrame, centred: DataFrame, scratch: Scratc
         checked = scratch.write(_verify(edges, sets), f"checked-{k}")
         done = checked if done is None else done.unionByName(checked)
         links = done.where("linked").select("a", "b")
-        if not checked.where("linked").limit(1).count():
-            return links
+        if roots is not None and not checked.where("linked").limit(1).count():
+            break
         # Who is in one component with a centre of the bucket is settled there; the rest meet again without the centres.
         roots = checkpointed(components(links))
         rest = centred.where("node != lo and node != hi")
@@ -256,5 +302,7 @@ def _links(own: DataFrame, kinds: DataFrame, centred: DataFrame, scratch: Scratc
         rest = scratch.write(rest.select("key", "node"), f"rest-{k}")
         centred = scratch.write(_centred(rest), f"centred-{k}")
         if not centred.limit(1).count():
-            return links
+            break
         k += 1
+    edges = _apart(buckets, roots, done, sets.select("node", "size", "odd"), scratch)
+    return done.unionByName(scratch.write(_verify(edges, sets), "checked-apart")).where("linked").select("a", "b")
