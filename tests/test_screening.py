@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
 from datetime import date, datetime
 from difflib import SequenceMatcher
@@ -19,6 +20,7 @@ from vellum.functions.taxonomy import CV_GUARD, JOB_GUARD, Taxonomy, match_names
 from vellum.functions.text import percent, rounded
 from vellum.operators import audit, dedup, fairness, views
 from vellum.operators.rank import global_rank, rank_candidates, score_candidates
+from vellum.plans.queries import QUERIES
 from vellum.plans.report import audit_report, bias_report, summary_report
 from vellum.plans.screening import screen
 from vellum.sources import readers, sinks, store
@@ -154,6 +156,18 @@ def test_greedy_dedup_equals_the_sequential_rule(spark):
         assert got == want
 
 
+def test_registered_near_dedup_is_exact(spark, tmp_path):
+    """Three words with a changed letter, and 18 with a letter changed in every other word, share no word shingle."""
+    r = random.Random(5)
+    long = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(18)]
+    texts = ["alphabetical ordering principles", "alphabetical orderimg principles", " ".join(long), " ".join(w if k % 2 else w[:4] + "z" + w[5:] for k, w in enumerate(long)), "other"]
+    squeeze = lambda t: " ".join(t.lower().split())
+    want = {k: next((j for j in range(k) if SequenceMatcher(None, squeeze(t), squeeze(texts[j])).ratio() >= dedup.THRESHOLD), None) for k, t in enumerate(texts)}
+    assert list(want.values()) == [None, 0, None, 2, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["key"]: r["duplicate_of"] for r in QUERIES["near_dedup"](spark, str(tmp_path)).collect()} == want
+
+
 def test_whole_run_and_reports(spark, tmp_path):
     texts = spark.createDataFrame([("Candidate_01", CV, "a.txt"), ("Candidate_02", "just prose about nothing", "b.txt")], "candidate_id string, text string, original_filename string")
     run = screen(texts, "We want Python, Docker and SQL Server", Taxonomy(), datetime(2024, 1, 15))

@@ -151,7 +151,7 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    pairs = dedup.near_duplicate_pairs(own, lsh=True)
+    pairs = checkpointed(dedup.near_duplicate_pairs(own))
     return dedup.greedy_keep(own, pairs)
 
 
