@@ -77,6 +77,22 @@ def test_short_items_and_text_ends(spark):
     assert got == [(1, 1, 0), (2, 1, 0), (4, 2, 0), (5, 2, 0)]
 
 
+def test_all_lengths_and_edits(spark):
+    """Items of 1 to 20 words, every number of edits up to a fifth, at every offset to the stride: all are found."""
+    r = random.Random(8)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    items = {n: fresh(n) for n in range(1, 21)}
+    docs, planted = [], set()
+    for n, item in items.items():
+        for e in range(int(decontam.MAX_EDITS * n) + 1):
+            for k in range(12):
+                docs.append(fresh(20 + k) + edited(item, e, r) + fresh(30))
+                planted.add((len(docs), n, plain(item, docs[-1])))
+    table = spark.createDataFrame([(k + 1, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(i)) for n, i in items.items()], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"], x["edits"]) for x in decontam.leaks(table, bench).collect()} == planted
+
+
 def test_nothing(spark, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     one = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")

@@ -4,7 +4,9 @@ Texts are sequences of lower-cased words. The CGK walk of a sequence emits the c
 when a random bit of (repetition, step, word) says so; sequences at a small edit distance emit mostly the same at the same
 steps. Each repetition samples SAMPLES of the first STEPS steps; windows that agree there with an item's window collide. A
 text is walked from every STRIDE-th word; an item is embedded from each of its first words up to half of it, so that any
-occurrence meets several anchors in every repetition. Each collision is verified: the word edit distance of the item to the
+occurrence meets several anchors in every repetition. Beside the walks, each item is cut into one piece more than it may
+have edits. Edits spoil at most one piece each, so every occurrence holds a whole piece, and all places of all pieces are
+found by hash: nothing within MAX_EDITS is missed, whatever the item's length. Each collision is verified: the word edit distance of the item to the
 best substring of the text around the anchor must be at most MAX_EDITS of the item's words.
 """
 
@@ -17,12 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._words import Members, mix, words
+from vellum.llm._words import Members, mix, runs, words
 
 STRIDE, STEPS, SAMPLES, REPETITIONS = 3, 24, 6, 10
 MAX_EDITS = 0.2
-#: The fewest words of an item that is searched. Items too short for any walk (see Index.short) are found without edits only.
-MIN_WORDS = 4
 #: Items in one scan; more are taken in blocks of as many, one scan each.
 BLOCK = 20_000
 HITS = "doc_id long, item_id long, start_word long, edits long, item_words long"
@@ -78,8 +78,14 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray, most: int) -> tuple
     return (int(cost[j]), int(begin[j])) if cost[j] <= most else None
 
 
+def cut(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the pieces of an item of n words: one more than its edits, of one to five words."""
+    k = int(MAX_EDITS * n) + 1
+    return [(j * n // k, (j + 1) * n // k) for j in range(k)]
+
+
 class Index:
-    """LSH keys of the items' windows."""
+    """LSH keys of the items' windows, and hashes of the items' pieces by number of words."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids, self.words = [], []
@@ -87,7 +93,7 @@ class Index:
         for lo, hi, h, first in words(texts):
             for k in range(lo, hi):
                 own = h[first[k - lo] : first[k - lo + 1]]
-                if len(own) >= MIN_WORDS:
+                if len(own):
                     self.ids.append(items[k][0])
                     self.words.append(own.copy())
         self.keys, self.owner, self.offset = [], [], []
@@ -106,7 +112,15 @@ class Index:
             self.owner.append(np.concatenate(owner)[order] if owner else np.zeros(0, np.int64))
             self.offset.append(np.concatenate(offset)[order] if offset else np.zeros(0, np.int64))
         self.members = [Members(k, 20) for k in self.keys]
-        self.short = {k: own for k, own in enumerate(self.words) if not any((o == k).any() for o in self.owner)}
+        by_size: dict[int, list[tuple[int, int, int]]] = {}
+        for k, own in enumerate(self.words):
+            for a, b in cut(len(own)):
+                by_size.setdefault(b - a, []).append((int(runs(own[a:b], b - a)[0]), k, a))
+        self.pieces = {}
+        for n, found in sorted(by_size.items()):
+            found.sort()
+            key = np.array([f[0] for f in found], U64)
+            self.pieces[n] = (Members(key, 20), key, np.array([f[1] for f in found]), np.array([f[2] for f in found]))
 
     def collisions(self, h: np.ndarray, starts: np.ndarray) -> set[tuple[int, int, int]]:
         """(item, place of its first word in h, start of the window) of the windows that share a key.
@@ -125,6 +139,19 @@ class Index:
                     found.add((int(self.owner[r][k]), s - int(self.offset[r][k]), s))
         return found
 
+    def intact(self, h: np.ndarray) -> set[tuple[int, int, int]]:
+        """(item, place of its first word in h, start of the piece) of all pieces in h; those across two texts verify as none."""
+        found: set[tuple[int, int, int]] = set()
+        for n, (members, keys, owner, offset) in self.pieces.items():
+            key = runs(h, n)
+            at, _ = members.find(key)
+            lo = np.searchsorted(keys, key[at], "left")
+            times = np.searchsorted(keys, key[at], "right") - lo
+            which = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+            start = np.repeat(at, times)
+            found.update(zip(owner[which].tolist(), (start - offset[which]).tolist(), start.tolist(), strict=True))
+        return found
+
     def verify(self, h: np.ndarray, found: set[tuple[int, int]]) -> dict[int, tuple[int, int]]:
         """Of one text's words: item -> (edits, first word), the best of its verified collisions (then the first)."""
         best: dict[int, tuple[int, int]] = {}
@@ -157,13 +184,9 @@ def _search(index: Index, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Reco
             owner = np.repeat(np.arange(len(gaps)), gaps)
             by_row: dict[int, set] = {}
             starts = np.flatnonzero(place % STRIDE == 0)
-            for item, at, start in index.collisions(h, starts):
+            for item, at, start in index.collisions(h, starts) | index.intact(h):
                 row = int(owner[start])
                 by_row.setdefault(row, set()).add((item, at - int(first[row])))
-            for item, own in index.short.items():
-                for at in np.flatnonzero(h == own[0]).tolist():
-                    if np.array_equal(h[at : at + len(own)], own) and owner[at] == owner[at + len(own) - 1]:
-                        by_row.setdefault(int(owner[at]), set()).add((item, at - int(first[owner[at]])))
             for row, found in by_row.items():
                 own = h[first[row] : first[row + 1]]
                 for item, (edits, start) in sorted(index.verify(own, found).items()):
@@ -176,7 +199,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """HITS: one row for each document row and benchmark item found in it, with the best place and its edits.
 
     documents (doc_id, text) and benchmark (item_id, text); other columns are not read. Null, empty and blank texts
-    hold nothing; items of fewer than MIN_WORDS words are not searched. Repeated document rows give repeated hits;
+    hold nothing; such items are found nowhere. Repeated document rows give repeated hits;
     repeated items too. The items are a query set: taken in blocks of BLOCK, each against all documents in one scan.
     """
     spark = documents.sparkSession
