@@ -65,6 +65,13 @@ def test_quality_score_is_the_mean_ratio(spark):
     assert all(math.isclose(got[i], want[i], abs_tol=1e-9) for i in want)
 
 
+def test_quality_score_ignores_case(spark):
+    docs = spark.createDataFrame([(1, "good words here and there"), (2, "GOOD Words HERE and There"), (3, "bad junk")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.judge_quality(docs, labels).collect()}
+    assert got[1] == got[2] != got[3]
+
+
 def test_quality_of_nothing(spark, empty, documents):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.judge_quality(empty, labels).collect() == []
