@@ -68,7 +68,7 @@ def _contact(name: str, pattern: str, tag: str, group: int = 0, literal: bool =
 
     def step(df: DataFrame) -> DataFrame:
         hits = find_all(F.col("text"), pattern, group)
-        df = df.withColumn("found", F.filter(F.transform(hits, strip), keep) if keep else hits)
+        df = df.withColumn("found", F.filter(F.transform(hits, strip) if group == 0 else hits, keep) if keep else hits)
         text = replace_each(F.col("text"), F.col("found"), tag) if literal else sub(F.col("text"), pattern, tag)
         return df.withColumns({"contacts": F.col("contacts").withField(name, F.col("found")), "counts": _count(name, F.size("found")), "text": text}).drop("found")
 
@@ -87,7 +87,7 @@ redact_handles = _contact("linkedin_handles", R.LINKEDIN_HANDLE, "[LINKEDIN_REDA
 redact_github = _contact("github", R.GITHUB, "[URL_REDACTED]", group=1, literal=False)
 redact_urls = _contact("urls", R.URL, "[URL_REDACTED]")
 redact_bare_urls = _contact("urls_no_proto", R.URL_NO_PROTO, "[URL_REDACTED]", group=1, literal=False)
-redact_addresses = _contact("addresses", R.ADDRESS, "[ADDRESS_REDACTED]")
+redact_addresses = _contact("addresses", R.ADDRESS, "[ADDRESS_REDACTED]", group=1, keep=lambda a: a != "")
 
 
 def mark_contacts(df: DataFrame) -> DataFrame:

@@ -57,8 +57,13 @@ def explain_ranking(ranking: DataFrame, parsed: DataFrame, n_candidates: int | N
 
 
 def verdict_histogram(explanations: DataFrame) -> DataFrame:
-    """One row: candidates, the four verdicts, recommended (strong or good) and its share, average final score."""
+    """One row: candidates, the four verdicts, recommended (strong or good) and its share, average final score.
+
+    Scores have four places, so they are summed as decimals: the average doesn't depend on the order of rows. It is rounded
+    to six places, half up.
+    """
     n = lambda v: F.count_if(F.col("verdict") == f"{v} Match")
-    row = explanations.agg(F.count("*").alias("n"), n("Strong").alias("n_strong"), n("Good").alias("n_good"), n("Partial").alias("n_partial"), n("Weak").alias("n_weak"), F.coalesce(F.avg("final_score"), F.lit(0.0)).alias("avg_score"))
-    row = row.withColumn("n_recommended", F.col("n_strong") + F.col("n_good"))
+    row = explanations.agg(F.count("*").alias("n"), n("Strong").alias("n_strong"), n("Good").alias("n_good"), n("Partial").alias("n_partial"), n("Weak").alias("n_weak"), F.sum(F.col("final_score").cast("decimal(20,4)")).alias("total"))
+    average = F.round(F.try_divide("total", F.col("n").cast("decimal(19,0)")), 6).cast("double")
+    row = row.withColumns({"n_recommended": F.col("n_strong") + F.col("n_good"), "avg_score": F.coalesce(average, F.lit(0.0))}).drop("total")
     return row.withColumn("recommended_share", F.coalesce(F.try_divide("n_recommended", "n"), F.lit(0.0)))

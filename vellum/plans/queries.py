@@ -183,8 +183,7 @@ def explain_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = verdict_histogram(Run(spark, sf_dir).explanations)
-    return row.withColumns({c: F.round(c, 6) for c in ("avg_score", "recommended_share")})
+    return verdict_histogram(Run(spark, sf_dir).explanations).withColumn("recommended_share", F.round("recommended_share", 6))
 
 
 def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from vellum.functions import patterns as R
 from vellum.plans.queries import GOLDEN, PARSED
 
-EMAIL, FULL_DATE = R.EMAIL.removeprefix(R.P), R.FULL_DATE.removeprefix(R.P)
+EMAIL, FULL_DATE = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", R.FULL_DATE.removeprefix(R.P)
 NAMED = "(?i)" + R.NAMED_DATE.removeprefix(R.I)
 
 
@@ -124,7 +124,7 @@ FROM documents d CROSS JOIN job j LEFT JOIN has h ON h.doc_id = d.doc_id AND h.w
   CASE WHEN len(matched) = total THEN 'Matched all ' || {_N} ELSE 'Matched ' || len(matched) || ' of ' || {_N} END AS keyword_note,
   CASE WHEN semantic_score >= 0.8 THEN 'Excellent' WHEN semantic_score >= 0.6 THEN 'Good' WHEN semantic_score >= 0.4 THEN 'Fair' ELSE 'Poor' END AS semantic_label FROM final"""),
     "verdict_histogram": q("""SELECT count(*) AS n, count(*) FILTER (WHERE verdict = 'Strong Match') AS n_strong, count(*) FILTER (WHERE verdict = 'Good Match') AS n_good,
-  count(*) FILTER (WHERE verdict = 'Partial Match') AS n_partial, count(*) FILTER (WHERE verdict = 'Weak Match') AS n_weak, round(avg(printf('%.4f', final_score)::DOUBLE), 6) AS avg_score,
+  count(*) FILTER (WHERE verdict = 'Partial Match') AS n_partial, count(*) FILTER (WHERE verdict = 'Weak Match') AS n_weak, ((200 * sum(CAST(printf('%.4f', final_score)::DECIMAL(18, 4) * 10000 AS BIGINT)) + count(*)) // (2 * count(*)))::DOUBLE / 1000000 AS avg_score,
   count(*) FILTER (WHERE verdict IN ('Strong Match', 'Good Match')) AS n_recommended, round(count(*) FILTER (WHERE verdict IN ('Strong Match', 'Good Match'))::DOUBLE / count(*), 6) AS recommended_share FROM judged"""),
     "score_distribution": q("SELECT 'score_distribution' AS check_id, false AS flagged, printf('%.4f', min(final_score))::DOUBLE AS min, printf('%.4f', max(final_score))::DOUBLE AS max, printf('%.4f', avg(final_score))::DOUBLE AS mean, printf('%.4f', stddev_pop(final_score))::DOUBLE AS stddev, printf('%.4f', max(final_score) - min(final_score))::DOUBLE AS spread FROM ranked"),
     "score_compression": flag("score_compression", "Score Compression", "n >= 2 AND spread < 0.10"),
