@@ -55,3 +55,26 @@ def test_repeated_ids_leave_one_row(spark, folder):
     docs = spark.createDataFrame([(1, prose(1, 50)), (1, prose(1, 50)), (2, prose(1, 50)), (3, prose(2, 50)), (None, prose(9, 50))], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0) for r in pipeline.near_dedup(spark, docs, folder).collect()) == [0, 1, 3]
     assert minhash.near_duplicates(docs).where("kept").count() == 4
+
+
+def test_unlike_texts_with_one_id_are_judged_apart(spark, folder):
+    u = {k: prose(900 + k, 60) for k in (3, 5, 70, 71, 80)}
+    rows = [(3, u[3]), (5, u[5]), (5, u[3]), (7, u[70]), (7, u[71]), (None, u[80]), (None, u[3]), (9, None), (9, None), (9, ""), (7, u[71])]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, vellum_0 int")
+    got = [(r["doc_id"], r["text"]) for r in pipeline.near_dedup(spark, docs, folder).collect()]
+    want = [(3, u[3]), (5, u[5]), (7, u[70]), (7, u[71]), (None, u[80]), (9, None), (9, None), (9, "")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_leak_takes_its_row_alone(spark, folder):
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    rows = [(1, prose(1, 40)), (1, prose(2, 40) + " " + item), (None, item), (None, prose(4, 40)), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in pipeline.decontaminate(spark, docs, folder).collect()]
+    assert sorted(got, key=repr) == sorted([rows[0], rows[3], rows[4]], key=repr)
+
+
+@pytest.mark.parametrize("stage", [s for s, _ in pipeline.STAGES])
+def test_stages_take_an_empty_table(spark, folder, stage):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    assert dict(pipeline.STAGES)[stage](spark, docs, folder).count() == 0

@@ -12,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     app = spark.sparkContext.applicationId
     if app not in _OWN:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         _OWN[app] = tempfile.mkdtemp(prefix="vellum-")
         atexit.register(shutil.rmtree, _OWN[app], True)
         spark.sparkContext.setCheckpointDir(_OWN[app])
@@ -58,6 +61,14 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def matched(documents: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """documents joined (left_semi or left_anti) with rows (doc_id, text_hash) by doc_id, null safe, and a hash of the text."""
+    names = iter(f"vellum_{k}" for k in range(len(documents.columns) + 2) if f"vellum_{k}" not in documents.columns)
+    one, two = next(names), next(names)
+    rows = rows.select(F.col("doc_id").alias(one), F.col("text_hash").alias(two)).distinct()
+    return documents.join(rows, F.col("doc_id").eqNullSafe(F.col(one)) & (F.xxhash64("text") == F.col(two)), how)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to executors that could not import it otherwise (it is neither installed nor on PYTHONPATH)."""
     root = Path(__file__).resolve().parents[2]

@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.llm._stage import matched
 from vellum.llm._words import Members, mix, runs, words
 
 STRIDE, STEPS, SAMPLES, REPETITIONS = 3, 24, 6, 10
 MAX_EDITS = 0.2
 #: Items in one scan; more are taken in blocks of as many, one scan each.
 BLOCK = 20_000
-HITS = "doc_id long, item_id long, start_word long, edits long, item_words long"
+HITS = "doc_id long, text_hash long, item_id long, start_word long, edits long, item_words long"
 U64 = np.uint64
 
 _PICK = np.stack([np.sort(np.argsort(mix(np.arange(STEPS, dtype=U64) + U64(1000 * r)))[:SAMPLES]) for r in range(REPETITIONS)])
@@ -175,7 +176,7 @@ def _search(index: Index, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Reco
     names = [f.split()[0] for f in HITS.split(", ")]
     for batch in batches:
         rows: list[tuple] = []
-        ids = batch.column("doc_id").to_pylist()
+        ids, marks = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
         for lo, _, h, first in words(batch.column("text")):
             if not len(h):
                 continue
@@ -190,18 +191,28 @@ def _search(index: Index, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Reco
             for row, found in by_row.items():
                 own = h[first[row] : first[row + 1]]
                 for item, (edits, start) in sorted(index.verify(own, found).items()):
-                    rows.append((ids[lo + row], index.ids[item], start, edits, len(index.words[item])))
+                    rows.append((ids[lo + row], marks[lo + row], index.ids[item], start, edits, len(index.words[item])))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """HITS: one row for each document row and benchmark item found in it, with the best place and its edits.
+    """doc_id, item_id, start_word, edits, item_words: one row for each document row and benchmark item found in it, with the best place and its edits.
 
     documents (doc_id, text) and benchmark (item_id, text); other columns are not read. Null, empty and blank texts
     hold nothing; such items are found nowhere. Repeated document rows give repeated hits;
     repeated items too. The items are a query set: taken in blocks of BLOCK, each against all documents in one scan.
     """
+    return _hits(documents, benchmark).drop("text_hash")
+
+
+def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of documents that hold no benchmark item. Rows are known by doc_id and a hash of the text."""
+    return matched(documents, _hits(documents, benchmark), "left_anti")
+
+
+def _hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """HITS of leaks; text_hash tells unlike texts with one doc_id apart."""
     spark = documents.sparkSession
     items = benchmark.where("text is not null").select("item_id", "text")
     blocks = max(1, -(-items.count() // BLOCK))
@@ -209,6 +220,6 @@ def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().to_pylist()
         index = spark.sparkContext.broadcast(Index(sorted(((x["item_id"], x["text"]) for x in block), key=lambda x: (x[0] is None, x[0] or 0, x[1]))))
-        found = documents.select("doc_id", "text").mapInArrow(lambda batches, index=index: _search(index.value, batches), HITS)
+        found = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lambda batches, index=index: _search(index.value, batches), HITS)
         out = found if out is None else out.unionByName(found)
     return out

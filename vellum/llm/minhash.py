@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm._stage import Scratch, checkpointed
+from vellum.llm._stage import Scratch, checkpointed, matched
 from vellum.llm._words import mix, runs, signed, words
 
 SHINGLE, PERCENT = 5, 75
@@ -39,7 +39,7 @@ CHUNK = 256
 PARITIES = 16
 #: The most links that one task joins into components.
 FEW_LINKS = 1 << 18
-SETS = "rid long, doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+SETS = "rid long, doc_id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>"
 #: Probe sequence of each bin: row k holds every bin's k-th choice.
 _PROBES = (mix(np.arange(64 * BINS, dtype=U64) + U64(0xD1CE)) % U64(BINS)).astype(np.int64).reshape(64, BINS)
 
@@ -126,7 +126,7 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]), pa.int32()), flat)
             ids = pa.array(np.arange(rid, rid + part.num_rows))
             rid += part.num_rows
-            yield pa.RecordBatch.from_arrays([ids, part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), bands], names=[f.split()[0] for f in SETS.split(", ")])
+            yield pa.RecordBatch.from_arrays([ids, part.column("doc_id").cast(pa.int64()), part.column("text_hash"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), bands], names=[f.split()[0] for f in SETS.split(", ")])
 
 
 def _needed(bits: np.ndarray):
@@ -246,31 +246,54 @@ def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
         labels = now.select("node", "root")
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of documents (doc_id, text; others are not read).
-
-    Null, empty and blank texts have an empty set, link with nothing and are their own component. Rows with equal sets
-    are always linked. component_id is the smallest doc_id of the component (nulls last; null if it has no other);
-    kept says that doc_id equals it, nulls included. Rows that repeat are all returned.
-    """
-    own = documents.select("doc_id", "text")
+def _judged(documents: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and stays: whether a row is its component's least by doc_id (nulls last),
+    then text_hash. Rows with an empty set all stay."""
+    own = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     with Scratch(documents.sparkSession) as scratch:
         rows = scratch.write(own.mapInArrow(_sketch, SETS), "rows")
-        kinds = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least")
+        kinds = rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("rid").alias("node"), least, F.first("bands").alias("bands"))
         kinds = scratch.write(kinds, "kinds")
         centred = scratch.write(_centred(kinds.select("node", F.explode("bands").alias("key"))), "centred")
         roots = checkpointed(components(_links(own, kinds.select("node", "s1", "s2"), centred, scratch)))
-        keyed = checkpointed(rows.select("rid", "doc_id", "n_shingles", "s1", "s2"))
+        keyed = checkpointed(rows.select("rid", "doc_id", "text_hash", "n_shingles", "s1", "s2"))
         kinds = kinds.join(roots, "node", "left").select("s1", "s2", "least", F.coalesce("root", "node").alias("root"))
-        # Only components of several classes need their smallest doc_id looked up.
+        # Only components of several classes need their least row looked up.
         firsts = kinds.join(roots.select("root").distinct(), "root").groupBy("root").agg(F.min("least").alias("first"))
         kinds = kinds.join(firsts, "root", "left")
-        kinds = checkpointed(kinds.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.coalesce("first", "least").alias("component_id"), F.lit(True).alias("grouped")))
+        kinds = checkpointed(kinds.select(F.col("s1").alias("k1"), F.col("s2").alias("k2"), F.coalesce("first", "least").alias("first"), F.lit(True).alias("grouped")))
     out = keyed.join(kinds, (F.col("s1") == F.col("k1")) & (F.col("s2") == F.col("k2")), "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    stays = F.col("grouped").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("grouped"), F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), stays.alias("stays"))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of documents (doc_id, text; others are not read).
+
+    Null, empty and blank texts have an empty set, link with nothing and are their own component. Rows with equal sets
+    are always linked. component_id is the smallest doc_id of the component (nulls last; null if it has no other);
+    kept says that doc_id equals it, nulls included. Rows that repeat are all returned.
+    """
+    out = _judged(documents).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def deduplicated(documents: DataFrame) -> DataFrame:
+    """One row of documents for each component, with all its columns; rows with an empty set all stay.
+
+    A row is known by doc_id and a hash of its text, so unlike texts with one doc_id, or with none, are judged apart. The
+    component's row is the least by doc_id (nulls last), then hash; of rows that have both in common any one stays.
+    """
+    judged = _judged(documents).where("n_shingles > 0")
+    kept = matched(documents, judged.where(~F.col("stays")), "left_anti")
+    repeats = checkpointed(judged.where("stays").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"))
+    if repeats.limit(1).count():
+        twice = matched(kept, repeats, "left_semi").dropDuplicates(["doc_id", "text"])
+        return matched(kept, repeats, "left_anti").unionByName(twice)
+    return kept
+
+
 def _links(own: DataFrame, kinds: DataFrame, centred: DataFrame, scratch: Scratch) -> DataFrame:
     """Verified links (a, b) between nodes: rounds of stars, then the pairs that these left open."""
     nodes = scratch.write(centred.select("node").distinct().join(kinds, "node").select("node", "s1", "s2"), "nodes")
