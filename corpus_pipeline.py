@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import decontam, minhash, pieces, pii, quality
-from vellum.llm._stage import shared_dir, ship
+from vellum.llm._stage import Scratch, ship
 
 #: No oracle: hashes, bootstrapped patterns and pieces have no SQL form. Tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in dropped; rows without doc_id stay unless a null is dropped."""
-    gone = dropped.select(F.col("doc_id").alias("vellum_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("vellum_gone")), "left_anti")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. The verdict depends on the text alone, so rows with one doc_id and one text agree."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -28,19 +21,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id, once."""
-    judged = minhash.near_duplicates(docs)
-    kept = _without(docs, judged.where(~F.col("kept")))
-    repeats = judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if repeats.limit(1).count():
-        twice = kept.join(repeats.select(F.col("doc_id").alias("vellum_twice")), F.col("doc_id").eqNullSafe(F.col("vellum_twice")), "left_semi")
-        return _without(kept, repeats).unionByName(twice.dropDuplicates(["doc_id"]))
-    return kept
+    """One document of each group of near-duplicates: the smallest doc_id, once. Unlike texts with one doc_id are judged apart."""
+    return minhash.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, decontam.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,12 +51,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each writes Parquet in the shared folder, which the next one reads."""
+    """All stages over documents; each writes Parquet in the shared folder, which the next one reads. A stage's table is
+    removed when the next one is written; the last one's is the result."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    tables = Scratch(spark)
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{root}/{k}-{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{root}/{k}-{name}")
+        docs = tables.write(stage(spark, docs, sf_dir), f"{k}-{name}")
+        if k:
+            tables.drop(f"{k - 1}-{STAGES[k - 1][0]}")
     return docs
