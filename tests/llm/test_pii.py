@@ -80,5 +80,28 @@ def test_occurrences_stay_within_texts(spark):
 
     (_, _, h, _), = words(pa.array(["a b"]))
     texts = pa.array(["a b c", "x a", "b c", "a b", "a b a b c", None, "a b d"])
-    total = {r["pattern"]: r["n"] for b in pii._occurrences(runs(h, 2))([pa.RecordBatch.from_arrays([texts], ["text"])]) for r in b.to_pylist()}
-    assert list(total.values()) == [4] and np.int64(list(total)[0]) is not None
+    key = int(runs(h, 2)[0])
+    table = np.zeros(64, np.uint64)
+    table[key >> 58] = 1 << (key >> 52 & 63)
+    total = {r["pattern"]: r["n"] for b in pii._occurrences(table)([pa.RecordBatch.from_arrays([texts], ["text"])]) for r in b.to_pylist()}
+    assert {k % 2**64: n for k, n in total.items()} == {key: 4}
+
+
+def test_bit_table_holds_every_pattern(spark):
+    import numpy as np
+
+    keys = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 500)
+    table = pii.bit_table(spark.createDataFrame([(int(k),) for k in keys], "pattern long"), 500)
+    at = keys.view(np.uint64) >> np.uint64(64 - int(table.size).bit_length() - 5)
+    assert ((table[(at >> np.uint64(6)).astype(int)] >> (at & np.uint64(63))) & np.uint64(1)).all()
+    assert np.bitwise_count(table).sum() <= 500
+
+
+def test_second_round_finds_what_no_seed_stands_beside(spark):
+    """`token is` has seeds; `badge number` has none, but shares instances with it, and then finds one of its own."""
+    own = [(k, f"the token is {k:040x} here") for k in range(1, 9)]
+    own += [(20 + k, f"the token is q{k}q here") for k in range(4)] + [(30 + k, f"his badge number q{k}q here") for k in range(4)]
+    own += [(40, "her badge number y9y here"), (41, "we met in room 12 today"), (42, "we met in room 13 today"), (43, "we met in room 14 today")]
+    spans = {r["doc_id"]: r["spans"] for r in pii.digests(pii.find_personal_data(spark.createDataFrame(own, "doc_id long, text string"))).collect()}
+    assert spans[40] == "id:17:20" and spans[30] == "id:17:20" and spans[20] == "id:13:16"
+    assert spans[41] == spans[42] == spans[43] == ""

@@ -8,7 +8,7 @@ megabyte (a longer text is a chunk of its own), which bounds a worker's memory w
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +117,28 @@ def signed(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h).view(np.int64)
 
 
+def tally(parts: Iterable[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, counts) of all parts; about `most` distinct hashes are held, then they are passed on and may come again."""
+
+    def merge(held: list) -> tuple[np.ndarray, np.ndarray]:
+        uniq, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return uniq, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
+
+    held: list = []
+    size = 0
+    for part in parts:
+        held.append(np.unique(part, return_counts=True))
+        size += len(held[-1][0])
+        if size > most:
+            held = [merge(held)]
+            size = len(held[0][0])
+            if size > most // 2:
+                yield held[0]
+                held, size = [], 0
+    if held:
+        yield merge(held)
+
+
 class Members:
     """Membership of 64-bit hashes in a fixed set: a bit table first, then binary search for what it lets through."""
 

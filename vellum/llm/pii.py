@@ -20,12 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm._stage import Scratch, checkpointed
-from vellum.llm._words import Members, hashes, runs, signed, spans, utf8, words
+from vellum.llm._words import hashes, runs, signed, spans, tally, utf8, words
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_INSTANCES, MIN_SCORE = 3, 3, 0.5
-#: Patterns whose corpus occurrences are counted in one scan; more are counted in blocks of as many.
-BLOCK = 1 << 20
+#: log2 of the bits, at most, of the table that says which pairs of words are patterns (16 MB).
+MOST_BITS = 27
+#: Distinct pairs that a task holds before it passes partial counts on.
+PARTIAL = 1 << 20
 BASE = "rid long, doc_id long, text_hash long, n_email long, n_ip long, n_card long, n_phone long, base array<struct<kind:int,start:int,end:int>>"
 FOUND = "candidates array<struct<pattern:long,instance:long,seed:boolean,start:int,end:int>>"
 U64 = np.uint64
@@ -136,44 +138,52 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def _occurrences(keys: np.ndarray):
-    """How often each of the patterns (sorted hashes) occurs in the batches' texts."""
+def _occurrences(table: np.ndarray):
+    """How often pairs of words, whose hash hits the table of bits, come before a third word: (pattern, n)."""
+    shift = U64(64 - int(table.size).bit_length() - 5)
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Members(keys)
-        total = np.zeros(len(known.keys), np.int64)
-        for batch in batches:
-            for _, _, h, first in words(batch.column("text")):
-                pairs = runs(h, 2)
-                # A pair must lie in one text and have a word after it there.
-                inside = np.ones(len(h) + 1, bool)
-                inside[np.concatenate([first, np.maximum(first - 1, 0), np.maximum(first - 2, 0)])] = False
-                inside[first[:-1][np.diff(first) > 2]] = True
-                at, rank = known.find(pairs)
-                at_ok = inside[at]
-                total += np.bincount(rank[at_ok], minlength=len(total))
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(known.keys[hit])), pa.array(total[hit])], names=["pattern", "n"])
+        def parts():
+            for batch in batches:
+                for _, _, h, first in words(batch.column("text")):
+                    pairs = runs(h, 2)
+                    # A pair must lie in one text and have a word after it there.
+                    inside = np.ones(len(h) + 1, bool)
+                    inside[np.concatenate([first, np.maximum(first - 1, 0), np.maximum(first - 2, 0)])] = False
+                    inside[first[:-1][np.diff(first) > 2]] = True
+                    pairs = pairs[inside[: len(pairs)]]
+                    at = pairs >> shift
+                    yield pairs[(table[(at >> U64(6)).astype(np.int64)] >> (at & U64(63)) & U64(1)).astype(bool)]
+
+        for key, n in tally(parts(), PARTIAL):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(n)], names=["pattern", "n"])
 
     return of
 
 
+def bit_table(patterns: DataFrame, n: int) -> np.ndarray:
+    """Bits, 16 for each of n patterns, within bounds: that of a pattern's highest bits is set. 64 to a word."""
+    bits = min(MOST_BITS, max(12, (16 * n).bit_length()))
+    place = F.shiftrightunsigned("pattern", 64 - bits)
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    got = patterns.groupBy(F.shiftrightunsigned(place, 6).alias("w")).agg(F.bit_or(mask).alias("m")).toArrow()
+    table = np.zeros(1 << (bits - 6), U64)
+    table[got.column("w").to_numpy()] = got.column("m").to_numpy().view(U64)
+    return table
+
+
 def accepted_patterns(documents: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame:
     """(pattern, score) of the patterns that extract. marks: pattern, instance, seed of each candidate occurrence."""
     edges = marks.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
     support = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.max("seed").alias("seeded")).where(F.col("instances") >= MIN_INSTANCES)
     # A pattern without a seed can't start, but it may gain from instances that other patterns raise.
     edges = scratch.write(edges.join(support.select("pattern"), "pattern"), "edges")
-    totals = []
     patterns = scratch.write(support.select("pattern"), "patterns")
-    blocks = max(1, -(-patterns.count() // BLOCK))
-    for k in range(blocks):
-        keys = patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).toArrow().column(0).to_numpy().view(U64)
-        totals.append(documents.select("text").mapInArrow(_occurrences(np.sort(keys)), "pattern long, n long"))
-    counted = totals[0]
-    for more in totals[1:]:
-        counted = counted.unionByName(more)
-    counted = scratch.write(counted.groupBy("pattern").agg(F.sum("n").alias("total")), "totals")
+    # One scan, whatever the number of patterns: what hits the table by chance is dropped by the join.
+    table = documents.sparkSession.sparkContext.broadcast(bit_table(patterns, patterns.count()))
+    counted = documents.select("text").mapInArrow(lambda batches: _occurrences(table.value)(batches), "pattern long, n long")
+    counted = counted.groupBy("pattern").agg(F.sum("n").alias("total")).join(patterns, "pattern", "left_semi")
+    counted = scratch.write(counted, "totals")
     instances = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("confidence"))
     for _ in range(ROUNDS):
         scores = edges.join(instances, "instance").groupBy("pattern").agg(F.sum(F.col("n") * F.col("confidence")).alias("mass"))
