@@ -79,6 +79,12 @@ def test_quality_of_nothing(spark, empty, documents):
     assert quality.kept_documents(documents, labels).columns == documents.columns
 
 
+def test_spellings_hold_in_any_text(spark):
+    known = spark.createDataFrame([("x", "Whilst at the centre")], "licence_id string, text string")
+    docs = spark.createDataFrame([(1, "while: AT the center!"), (2, "while at center")], "doc_id long, text string")
+    assert {r["doc_id"]: r["licence_id"] for r in licences.scan_licences(docs, known).collect()} == {1: "x", 2: None}
+
+
 def judge(url, listed, rules=urls.RULES):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m[1].translate(str.maketrans(urls.UPPER, urls.LOWER)), m[2]) if m else ("", "")
@@ -110,6 +116,13 @@ def test_listed_paths_and_queries(spark):
     assert got == {1: "block", 2: "allow", 3: "block", 4: "allow"}
 
 
+def test_hosts_of_one_label(spark):
+    listed = spark.createDataFrame([("http://intranet/bad",), ("example",)], "url string")
+    pages = spark.createDataFrame([(1, "http://intranet/bad/x"), (2, "http://intranet/good"), (3, "http://a.example"), (4, "http://example.com")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(pages, listed, rules=()).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow"}
+
+
 def test_urls_of_nothing(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     listed = spark.createDataFrame([], "url string")

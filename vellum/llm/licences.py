@@ -19,14 +19,16 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 BROADCAST_ROWS = 1 << 16
 
 
-#: What some copyright line or licence holds; texts without have no line to drop and no spelling that matters.
-HOLDERS, MENTIONS = ("copyright", "(c)", "©", "all rights reserved"), ("licen", "copyright", "software", "permi")
+#: What some copyright line holds; texts without have no line to drop.
+HOLDERS = ("copyright", "(c)", "©", "all rights reserved")
+#: Texts without any variant are left as they are, which is what replacing them all would do.
+VARIANT = " (?:" + "|".join(variant for variant, _ in SPELLINGS) + ") "
 
 
 def normalised(text: Column) -> Column:
     """Lower case, no copyright lines, words only with one space between, equivalent spellings replaced; null: empty.
 
-    Spellings are replaced in texts that hold one of MENTIONS; no licence is without.
+    Spellings are replaced one after the other, so a variant that an earlier one makes is replaced as well.
     """
     s = F.concat(F.lit("\n"), F.lower(F.coalesce(text, F.lit(""))))
     s = F.when(_any(s, HOLDERS), F.regexp_replace(s, COPYRIGHT_LINE, "\n")).otherwise(s)
@@ -34,7 +36,7 @@ def normalised(text: Column) -> Column:
     spelt = F.replace(s, F.lit(" "), F.lit("  "))
     for variant, standard in SPELLINGS:
         spelt = F.replace(spelt, F.lit(f" {variant.replace(' ', '  ')} "), F.lit(f" {standard.replace(' ', '  ')} "))
-    s = F.when(_any(s, MENTIONS), F.replace(spelt, F.lit("  "), F.lit(" "))).otherwise(s)
+    s = F.when(s.rlike(VARIANT), F.replace(spelt, F.lit("  "), F.lit(" "))).otherwise(s)
     return F.trim(F.replace(s, F.lit("  "), F.lit(" ")))
 
 

@@ -21,9 +21,8 @@ def _licences() -> str:
             s = f"replace({s}, {text(f' {variant.replace(" ", "  ")} ')}, {text(f' {standard.replace(" ", "  ")} ')})"
         return s
 
-    mentions = " OR ".join(f"contains(c, {text(m)})" for m in licences.MENTIONS)
     known = ", ".join(f"({text(k)}, {text(v)})" for k, v in LICENCES.items())
-    final = lambda: f"trim(replace(CASE WHEN {mentions} THEN {spelt('c')} ELSE c END, '  ', ' '))"
+    final = lambda: f"trim(replace({spelt('c')}, '  ', ' '))"
     return f"""
 WITH known0 AS (SELECT * FROM (VALUES {known}) AS k(licence_id, text)),
 known1 AS (SELECT licence_id, {canonical('text')} AS c FROM known0),

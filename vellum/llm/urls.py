@@ -1,6 +1,6 @@
 """URL filter: suffix rules first, then a blocked Bloom filter in front of an exact hash join with a list of URLs.
 
-Everything is a DataFrame expression. A URL's look-ups are its host and every parent domain (of two labels or more)
+Everything is a DataFrame expression. A URL's look-ups are its host and every parent domain
 joined with its path at every slash, and once with its query. Look-ups probe the filter, whose blocks are one 64-bit
 word each; what passes meets the list in a hash join, which removes the false positives. Rows without a hit never move.
 """
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (host and path, verdict): the rules of the contract.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-#: Sites that the production query lists; an entry covers its host's subdomains and everything below its path.
-LISTED = ("adult-x.example.com", "ads-track.example.com", "casino-win.example.net", "cheap-pills.example.com", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org")
+#: Sites that the production query lists, under each of the top-level domains; an entry covers its host's subdomains and
+#: everything below its path. Further lists come as tables.
+SITES, TOPS = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"), ("com", "net", "org")
+LISTED = tuple(f"{site}.example.{top}" for site in SITES for top in TOPS)
 #: Query parameters that don't change what a URL shows.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 #: Bits of the filter for each listed URL, bits set by each, and the most blocks that are broadcast (16 bytes each).
@@ -44,7 +46,7 @@ def lookups(url: Column, depth: Column | int, labels: Column | int) -> Column:
     steps = F.filter(F.split(path_of(url), "/", -1), lambda x: x != "")
     n = F.size(labels_of)
     most = F.least(n, F.lit(labels) if isinstance(labels, int) else labels)
-    hosts = F.when(n >= 2, F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), most)), lambda k: F.array_join(F.slice(labels_of, n - k + 1, k), ".")))
+    hosts = F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), most)), lambda k: F.array_join(F.slice(labels_of, n - k + 1, k), ".")))
     cut = F.least(F.size(steps), F.lit(depth) if isinstance(depth, int) else depth)
     paths = F.transform(F.sequence(F.lit(0), cut), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
     full = F.when(query_of(url) != "", F.array(F.concat(F.array_join(steps, "/"), F.lit("?"), query_of(url)))).otherwise(F.array().cast("array<string>"))
