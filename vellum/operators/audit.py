@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.patterns import HUMAN_REVIEW_WORDS
 from vellum.functions.text import fixed
+from vellum.operators.fairness import named
 from vellum.operators.rank import global_rank
 
 S, L = F.concat, F.lit
@@ -137,14 +138,14 @@ def gdpr_checks(vault: DataFrame, explanations: DataFrame, ranking: DataFrame, r
     a = vault.agg(F.count("*").alias("n_vault"), F.coalesce(F.bool_or(F.size("pii_categories_found") > 0), L(False)).alias("has_pii"))
     said = F.lower("explanation.recommendation")
     reviewed = reduce(lambda x, y: x | y, (F.contains(said, L(w)) for w in HUMAN_REVIEW_WORDS))
-    b = explanations.agg(F.count("*").alias("n_told"), F.array_sort(F.collect_list(F.when(~F.coalesce(reviewed, L(False)), F.col("candidate_id")))).alias("failing"))
-    facts = {**a.first().asDict(), **b.first().asDict(), "n_ranked": ranking.count()}
-    n_vault, told, bad, n_ranked = facts["n_vault"], facts["n_told"], facts["failing"], facts["n_ranked"]
+    failing = named(explanations.where(~F.coalesce(reviewed, L(False))), "candidate_id").first()
+    facts = {**a.first().asDict(), "n_told": explanations.count(), "n_ranked": ranking.count()}
+    n_vault, told, bad, n_ranked = facts["n_vault"], facts["n_told"], failing["n"], facts["n_ranked"]
     rows = [
         ("article_5", "Principles of processing", n_vault > 0 and facts["has_pii"], f"Vault records found for {n_vault} candidate(s). PII categories identified and removed before ranking.", "Vault is empty or pii_categories_found is missing — cannot confirm PII was properly identified and removed."),
         ("article_13", "Right to information / transparency", told > 0, f"Explanation generated for {told} candidate(s). Each explanation includes score breakdown, verdict, and recommendation.", "No explanation files found in explanations/. Transparency requirement cannot be demonstrated."),
         ("article_17", "Right to erasure", raw_files == 0, "raw_cvs/ directory is empty — original CVs have been removed. Right to erasure can be exercised.", f"{raw_files} raw CV file(s) still present in raw_cvs/. Original CVs must be deleted manually to satisfy Art. 17. Action required: delete all files from raw_cvs/ after processing."),
-        ("article_22", "Automated decision-making safeguards", told > 0 and not bad, f"All {told} explanation(s) contain human-review language in their recommendations.", "No explanation files found — cannot verify human review language." if not told else f"{len(bad)} explanation(s) lack explicit human-review language: {', '.join(bad)}. Review module2 recommendation templates."),
+        ("article_22", "Automated decision-making safeguards", told > 0 and not bad, f"All {told} explanation(s) contain human-review language in their recommendations.", "No explanation files found — cannot verify human review language." if not told else f"{bad} explanation(s) lack explicit human-review language: {failing['said']}. Review module2 recommendation templates."),
         ("article_25", "Data protection by design", n_vault > 0 and n_ranked > 0, f"Anonymization applied to {n_vault} CV(s) by module0 (vault records present). Ranking performed on anonymized text for {n_ranked} candidate(s). Privacy-by-design order confirmed.", "Vault records not found — cannot confirm anonymization preceded ranking." if not n_vault else "No ranking details available — pipeline may not have completed ranking stage."),
         ("article_30", "Records of processing activities", True, f"Full audit log generated at {out}/audit_log.json (run ID: {run}). Records of all processing activities are maintained.", ""),
     ]

@@ -11,6 +11,8 @@ from vellum.functions.text import fixed, percent, rounded
 
 COMPRESSION, SEMANTIC_GAP, CORRELATION, QUALITY_SPREAD, LEAST_FOR_CORRELATION = 0.10, 0.40, 0.85, 0.50, 3
 S, L = F.concat, F.lit
+#: Ids that a check names, at most; skill_gap_rows and the anti join have them all.
+NAMED = 100
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -24,6 +26,15 @@ def _result(df: DataFrame, check: str, label: str, flagged: Column, note: Column
 
 
 
+def named(rows: DataFrame, *order: str) -> DataFrame:
+    """One row: n, ids (candidate_id of the first NAMED rows in order) and said (the ids, and how many more there are)."""
+    first = rows.select(F.struct(*order).alias("place"), "candidate_id").orderBy("place").limit(NAMED)
+    ids = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "candidate_id"))), lambda x: x["candidate_id"]).alias("ids"))
+    out = ids.crossJoin(rows.agg(F.count("*").alias("n")))
+    more = F.when(F.col("n") > NAMED, S(L(" and "), (F.col("n") - NAMED).cast("string"), L(" more"))).otherwise("")
+    return out.withColumn("said", S(F.array_join("ids", ", "), more))
+
+
 def score_distribution(ranking: DataFrame) -> DataFrame:
     """min, max, mean, population deviation and spread of final scores."""
     s = F.col("final_score")
@@ -45,12 +56,11 @@ def score_compression(ranking: DataFrame) -> DataFrame:
 
 
 def skill_gap(ranking: DataFrame) -> DataFrame:
-    """Candidates without a matched skill, by rank. The list is a report: it holds those flagged only."""
-    none = (F.size("matched_skills") == 0) & (F.col("jd_skill_count") > 0)
-    a = ranking.agg(F.transform(F.array_sort(F.collect_list(F.when(none, F.struct("rank", "candidate_id")))), lambda x: x["candidate_id"]).alias("zero"))
-    n = F.size("zero")
-    said = S(n.cast("string"), L(" candidate(s) matched zero JD skills: "), F.array_join("zero", ", "), L(". These candidates were ranked using semantic similarity only — verify that their CVs are not systematically disadvantaged by skill vocabulary."))
-    return _result(a, "skill_gap_disparity", "Skill-Gap Disparity", n > 0, F.when(n > 0, said).otherwise("All candidates matched at least one JD skill."), F.struct(F.col("zero").alias("zero_match_candidates")))
+    """Flagged when candidates have no matched skill; the first NAMED by rank are named."""
+    a = named(ranking.where((F.size("matched_skills") == 0) & (F.col("jd_skill_count") > 0)), "rank", "candidate_id")
+    n = F.col("n")
+    said = S(n.cast("string"), L(" candidate(s) matched zero JD skills: "), F.col("said"), L(". These candidates were ranked using semantic similarity only — verify that their CVs are not systematically disadvantaged by skill vocabulary."))
+    return _result(a, "skill_gap_disparity", "Skill-Gap Disparity", n > 0, F.when(n > 0, said).otherwise("All candidates matched at least one JD skill."), F.struct(F.col("ids").alias("zero_match_candidates"), n.alias("zero_match_count")))
 
 
 def skill_gap_rows(ranking: DataFrame) -> DataFrame:
@@ -60,7 +70,7 @@ def skill_gap_rows(ranking: DataFrame) -> DataFrame:
 
 def semantic_gap(ranking: DataFrame) -> DataFrame:
     """Flagged when the first candidate's semantic and keyword scores are far apart."""
-    top = ranking.agg(F.min_by(F.struct("candidate_id", "semantic_score", "keyword_score"), F.coalesce("rank", L(9999))).alias("t")).select("t.*")
+    top = ranking.agg(F.min_by(F.struct("candidate_id", "semantic_score", "keyword_score"), F.coalesce("rank", L(2**31 - 1))).alias("t")).select("t.*")
     gap = F.abs(F.col("semantic_score") - F.col("keyword_score"))
     big = gap > SEMANTIC_GAP
     rest = F.when(big, "Large gap may indicate the top candidate scored high on contextual relevance but is missing explicit skill keywords — or vice versa. Manual review recommended.").otherwise("Semantic and keyword scores are consistent for the top candidate.")
@@ -95,12 +105,11 @@ def quality_spread(ranking: DataFrame) -> DataFrame:
 
 
 def parsed_coverage(ranking: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Flagged when ranked candidates have no parsed record."""
-    lost = ranking.join(parsed.select("candidate_id"), "candidate_id", "left_anti")
-    a = lost.agg(F.array_sort(F.collect_list("candidate_id")).alias("missing")).crossJoin(ranking.agg(F.count("*").alias("total")))
-    n = F.size("missing")
-    said = S(n.cast("string"), L(" ranked candidate(s) have no parsed JSON: "), F.array_join("missing", ", "), L(". These candidates were scored with default quality (0.5) and zero keyword matches, which may disadvantage them unfairly."))
-    return _result(a, "parsed_coverage", "Parsed Data Coverage", n > 0, F.when(n > 0, said).otherwise("All ranked candidates have corresponding parsed JSON files."), F.struct(F.col("total").alias("total_ranked"), F.col("missing").alias("missing_parsed")))
+    """Flagged when ranked candidates have no parsed record; the first NAMED by id are named."""
+    a = named(ranking.join(parsed.select("candidate_id"), "candidate_id", "left_anti"), "candidate_id").crossJoin(ranking.agg(F.count("*").alias("total")))
+    n = F.col("n")
+    said = S(n.cast("string"), L(" ranked candidate(s) have no parsed JSON: "), F.col("said"), L(". These candidates were scored with default quality (0.5) and zero keyword matches, which may disadvantage them unfairly."))
+    return _result(a, "parsed_coverage", "Parsed Data Coverage", n > 0, F.when(n > 0, said).otherwise("All ranked candidates have corresponding parsed JSON files."), F.struct(F.col("total").alias("total_ranked"), F.col("ids").alias("missing_parsed"), n.alias("missing_count")))
 
 
 def all_checks(ranking: DataFrame, parsed: DataFrame, months: DataFrame) -> DataFrame:

@@ -13,9 +13,9 @@ def verdict_key(verdict: Column) -> Column:
 
 
 def filter_verdict(explanations: DataFrame, key: str = "all") -> DataFrame:
-    """Rows of one verdict (strong_match ...) in order of rank; all of them for `all` or an empty key."""
+    """Rows of one verdict (strong_match ...) in order of rank, rows without one last; all of them for `all` or an empty key."""
     out = explanations if key in ("", "all") else explanations.where(verdict_key(F.col("verdict")) == key)
-    return out.orderBy(F.coalesce("rank", F.lit(9999)))
+    return out.orderBy(F.col("rank").asc_nulls_last())
 
 
 def verdicts(explanations: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ cand AS (SELECT doc_id, text, n_chars, printf('Candidate_%02d', row_number() OVE
 tax AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark WHERE item_id < 3)
   WHERE length(w) >= 3 AND w NOT LIKE '%s'),
 job AS (SELECT w FROM tax, benchmark WHERE item_id = 0 AND regexp_matches(lower(text), '(^|[^a-z0-9-])' || w || '($|[^a-z0-9-])')),
-known AS (SELECT DISTINCT doc_id FROM labels),
+known AS (SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '[^\s]')),
 has AS (SELECT doc_id, w FROM documents, tax WHERE regexp_matches(lower(text), '(^|[^a-zA-Z0-9.+#])' || w || '($|[^a-zA-Z0-9.+#])')),
 quality AS (SELECT k.doc_id, count(h.w) AS n,
     round(0.08 + 0.15 + CASE WHEN count(h.w) >= 15 THEN 0.20 WHEN count(h.w) >= 8 THEN 0.12 WHEN count(h.w) >= 3 THEN 0.06 ELSE 0 END, 4) AS q
@@ -100,7 +100,7 @@ _N = "total || ' required skill' || CASE WHEN total <> 1 THEN 's' ELSE '' END"
 EMAILS = f"len(regexp_extract_all(text, '{EMAIL}'))"
 
 ORACLES: dict[str, str] = {
-    "screen_documents": q("SELECT rank, candidate_id, printf('%.4f', final_score)::DOUBLE AS final_score, verdict, headline, recommendation FROM final"),
+    "judge_documents": q("SELECT rank, candidate_id, printf('%.4f', final_score)::DOUBLE AS final_score, verdict, headline, recommendation FROM final"),
     "redact_email": f"SELECT doc_id, sha256(regexp_replace(text, '{EMAIL}', '[EMAIL_REDACTED]', 'g')) AS text_sha256, {EMAILS}::BIGINT AS n FROM documents",
     "redact_dates": f"""WITH a AS (SELECT doc_id, regexp_replace(text, '{FULL_DATE}', '[DATE_REDACTED]', 'g') AS t, len(regexp_extract_all(text, '{FULL_DATE}')) AS n FROM documents)
 SELECT doc_id, sha256(regexp_replace(t, '{NAMED}', '[DATE_REDACTED]', 'g')) AS text_sha256, (n + len(regexp_extract_all(t, '{NAMED}')))::BIGINT AS n FROM a""",
@@ -131,12 +131,12 @@ FROM documents d CROSS JOIN job j LEFT JOIN has h ON h.doc_id = d.doc_id AND h.w
     "quality_spread": flag("quality_score_spread", "CV Quality Score Influence", "n >= 2 AND wide > 0.50"),
     "skill_gap": flag("skill_gap_disparity", "Skill-Gap Disparity", "zero > 0"),
     "semantic_gap": flag("semantic_keyword_gap", "Semantic vs Keyword Gap", "far", "top"),
-    "parsed_coverage": flag("parsed_coverage", "Parsed Data Coverage", "lost > 0"),
+    "parsed_coverage": flag("parsed_coverage", "Parsed Data Coverage", "unlabelled > 0", "(SELECT count(*) AS unlabelled FROM ranked WHERE doc_id NOT IN (SELECT doc_id FROM labels))"),
     "experience_correlation": q("SELECT 'experience_correlation' AS check_id, n >= 3 AND abs(r) > 0.85 AS flagged, printf('%.4f', r)::DOUBLE AS pearson_r, n AS candidates_analysed, CASE WHEN r < 0 THEN 'higher' ELSE 'lower' END AS correlation_direction FROM r", CHECKS),
     "zero_match": q("SELECT candidate_id, rank, len(matched)::INT AS matched_count, len(missing)::INT AS missing_count, total::INT AS jd_skill_count FROM ranked WHERE len(matched) = 0 AND total > 0"),
     "bias_summary": q("""SELECT 7::BIGINT AS total_checks, f AS flags_raised, f > 0 AS overall_flag, CASE WHEN f > 0 THEN 'BIAS RISK DETECTED' ELSE 'NO BIAS SIGNALS DETECTED' END AS overall_label
 FROM (SELECT (a.n >= 2 AND spread < 0.10)::BIGINT + (a.n >= 2 AND wide > 0.50)::BIGINT + (zero > 0)::BIGINT + far::BIGINT + (lost > 0)::BIGINT + (r.n >= 3 AND abs(r.r) > 0.85)::BIGINT AS f FROM a, top, r)""", CHECKS),
-    "ranked_without_record": q("SELECT candidate_id FROM ranked WHERE NOT parsed"),
+    "ranked_without_record": q("SELECT candidate_id FROM ranked WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "audit_event_log": q(f"""SELECT event_type, stage, severity, count(*) AS n, min(k)::INT AS first, max(k)::INT AS last FROM (
   SELECT event_type, stage, severity, row_number() OVER (ORDER BY g, key, event_type) AS k FROM (
     SELECT 1 AS g, '' AS key, 'PIPELINE_START' AS event_type, 'main' AS stage, 'INFO' AS severity
@@ -144,11 +144,10 @@ FROM (SELECT (a.n >= 2 AND spread < 0.10)::BIGINT + (a.n >= 2 AND wide > 0.50)::
     UNION ALL SELECT 3, candidate_id, 'PII_REMOVED', 'module0', CASE WHEN {EMAILS} > 0 THEN 'WARNING' ELSE 'INFO' END FROM cand
     UNION ALL SELECT 4, candidate_id, 'CV_PARSED', 'module0b', 'WARNING' FROM ranked WHERE parsed
     UNION ALL SELECT 5, printf('%012d', rank), 'CANDIDATE_RANKED', 'module1', 'INFO' FROM ranked
-    UNION ALL SELECT 6, printf('%012d', rank), 'EXPLANATION_WRITTEN', 'module2', 'INFO' FROM ranked WHERE rank % 2 = 0
+    UNION ALL SELECT 6, printf('%012d', rank), 'EXPLANATION_WRITTEN', 'module2', 'INFO' FROM ranked
     UNION ALL SELECT 7, candidate_id, 'DATA_RETAINED', 'module3', 'INFO' FROM cand
     UNION ALL SELECT 8, '1' || candidate_id, 'WARNING', 'module0', 'WARNING' FROM cand WHERE {EMAILS} > 0
     UNION ALL SELECT 8, '2' || candidate_id, 'WARNING', 'module0b', 'WARNING' FROM ranked WHERE parsed
-    UNION ALL SELECT 8, '3' || candidate_id, 'WARNING', 'module2', 'WARNING' FROM ranked WHERE rank % 2 = 1
     UNION ALL SELECT 9, '', 'PIPELINE_COMPLETE', 'module3', 'INFO')) GROUP BY event_type, stage, severity"""),
     "event_summary": """SELECT count(*) AS total_events, count(*) FILTER (WHERE event_type = 'view') AS pii_removal_events, count(*) FILTER (WHERE event_type = 'click') AS cv_parsed_events,
   count(*) FILTER (WHERE event_type NOT IN ('view', 'click')) AS ranking_events, 0::BIGINT AS explanation_events, 0::BIGINT AS data_retained_events,
@@ -172,7 +171,7 @@ FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0""",
   (SELECT (a.n >= 2 AND spread < 0.10)::BIGINT + (a.n >= 2 AND wide > 0.50)::BIGINT + (zero > 0)::BIGINT + far::BIGINT + (lost > 0)::BIGINT + (r.n >= 3 AND abs(r.r) > 0.85)::BIGINT FROM a, top, r) AS flags_raised
 FROM ranked WHERE rank = 1""", CHECKS),
     "record_digest": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
-    "audit_overview": q(f"""SELECT candidate_id, CASE WHEN CAST(substr(candidate_id, 11) AS INT) % 2 = 0 THEN {EMAILS.replace('text', 'c.text')}::INT END AS pii_count, r.rank, r.final_score, CASE WHEN r.rank <= 50 THEN j.verdict END AS verdict,
+    "audit_overview": q(f"""SELECT candidate_id, {EMAILS.replace('text', 'c.text')}::INT AS pii_count, r.rank, r.final_score, j.verdict,
   CASE WHEN r.parsed THEN round(r.q, 4) END AS quality_score FROM cand c JOIN ranked r USING (candidate_id) JOIN judged j USING (candidate_id)"""),
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

@@ -40,7 +40,7 @@ def ranking_lines(ranking: DataFrame) -> DataFrame:
 
 def write_csv(explanations: DataFrame, path: str) -> None:
     """The ranking export, sorted by rank across part files."""
-    csv_rows(explanations.orderBy(F.coalesce("rank", F.lit(9999)))).write.mode("overwrite").csv(path, header=True, emptyValue="")
+    csv_rows(explanations.orderBy(F.col("rank").asc_nulls_last())).write.mode("overwrite").csv(path, header=True, emptyValue="")
 
 
 def record_digest(record: Column) -> Column:
