@@ -141,7 +141,8 @@ def redact_dates(df: DataFrame) -> DataFrame:
 
 def redact_schools(df: DataFrame) -> DataFrame:
     tag = "[Educational Institution]"
-    return df.withColumn("text", sub(sub(F.col("text"), R.SCHOOL, tag), R.GENERIC_SCHOOL, tag))
+    some = F.col("text").rlike(R.SCHOOL_WORD)
+    return df.withColumn("text", F.when(some, sub(sub(F.col("text"), R.SCHOOL, tag), R.GENERIC_SCHOOL, tag)).otherwise(F.col("text")))
 
 
 def redact_degree_places(df: DataFrame) -> DataFrame:
