@@ -29,6 +29,8 @@ from vellum.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 AS_OF = date(2024, 1, 15)
+#: The most numbered ids (12 bytes each) that are broadcast; more meet their documents in a shuffle.
+BROADCAST_IDS = 1 << 20
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +41,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with candidate_id by place of doc_id. Only ids are ranked; texts meet their number in a join."""
     docs = t(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", "source")
     ranked = global_rank(docs.select("doc_id"), F.col("doc_id"), name="place")
-    return docs.join(ranked, "doc_id").withColumn("candidate_id", F.format_string("Candidate_%02d", "place"))
+    few = ranked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ranked) if few else ranked, "doc_id").withColumn("candidate_id", F.format_string("Candidate_%02d", "place"))
 
 
 def job_text(spark: SparkSession, sf_dir: str) -> str:
