@@ -24,7 +24,7 @@ from vellum.operators import audit, dedup, fairness, views
 from vellum.operators.explanations import explain_ranking, verdict_histogram
 from vellum.operators.rank import global_rank, rank_candidates, score_candidates, semantic_scores
 from vellum.plans.screening import screen
-from vellum.session import checkpointed
+from vellum.session import checkpointed, spread
 from vellum.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +42,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t(spark, sf_dir, "documents").select("doc_id", "text", "n_chars", "source")
     ranked = global_rank(docs.select("doc_id"), F.col("doc_id"), name="place")
     few = ranked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ranked) if few else ranked, "doc_id").withColumn("candidate_id", F.format_string("Candidate_%02d", "place"))
+    return spread(docs).join(F.broadcast(ranked) if few else ranked, "doc_id").withColumn("candidate_id", F.format_string("Candidate_%02d", "place"))
 
 
 def job_text(spark: SparkSession, sf_dir: str) -> str:

@@ -28,3 +28,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         atexit.register(shutil.rmtree, folder, True)
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores where its files give fewer: steps over texts would leave cores idle.
+
+    Large tables have more partitions than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
