@@ -65,7 +65,7 @@ def test_settled_members_meet_the_rest(spark):
     shifted = [" ".join(f"w{n}" for n in range(k, k + 104)) for k in (0, 12, 24, 36)]
     texts = [*shifted, *(" ".join(f"{c}{n}" for n in range(104)) for c in "pq")]
     own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    kinds = own.mapInArrow(minhash._sketch, minhash.SETS).select(F.col("rid").alias("node"), "s1", "s2")
+    kinds = own.withColumn("text_hash", F.xxhash64("text")).mapInArrow(minhash._sketch, minhash.SETS).select(F.col("rid").alias("node"), "s1", "s2")
     nodes = [r["node"] for r in kinds.collect()]
     centred = minhash._centred(spark.createDataFrame([(1, n) for n in nodes], "key long, node long"))
     with Scratch(spark) as scratch:
