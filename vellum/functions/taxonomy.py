@@ -22,10 +22,13 @@ DEFAULT: dict[str, tuple[str, ...]] = {
     "tools": ("Jira", "Figma", "Tableau", "Power BI", "Grafana", "Postman", "Slack"),
     "languages": LANGUAGES,
 }
+#: Spellings that no rule gives; those of names that a taxonomy lacks have no effect. Fixed values.
 ALIASES: dict[str, str] = {
     "js": "JavaScript", "ts": "TypeScript", "k8s": "Kubernetes", "tf": "TensorFlow", "sklearn": "Scikit-learn", "scikit": "Scikit-learn",
-    "node": "Node.js", "nodejs": "Node.js", "vue.js": "Vue", "vuejs": "Vue", "reactjs": "React", "react.js": "React", "angular.js": "Angular",
-    "angularjs": "Angular", "postgres": "PostgreSQL", "mongo": "MongoDB", "mssql": "SQL Server", "pb": "Power BI", "powerbi": "Power BI",
+    "hf": "HuggingFace", "hugging face": "HuggingFace", "node": "Node.js", "nodejs": "Node.js", "vue.js": "Vue", "vuejs": "Vue",
+    "reactjs": "React", "react.js": "React", "angular.js": "Angular", "angularjs": "Angular", "postgres": "PostgreSQL", "mongo": "MongoDB",
+    "mssql": "SQL Server", "gh actions": "GitHub Actions", "gha": "GitHub Actions", "tailwind": "Tailwind CSS", "pb": "Power BI",
+    "powerbi": "Power BI", "spacy": "spaCy", "pytorch": "PyTorch", "tensorflow": "TensorFlow", "gcp": "GCP",
     "google cloud platform": "GCP", "amazon web services": "AWS", "microsoft azure": "Azure",
 }
 
