@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import chat, classlm, decontam, licences, minhash, pieces, pii, quality, toxicity, urls
+from vellum.llm import chat, classifier, classlm, codes, decontam, licences, minhash, pieces, pii, quality, retention, toxicity, urls
 from vellum.llm._stage import ship
 from vellum.llm.sql import ORACLES
 
@@ -65,8 +65,23 @@ def op10_classlm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.retention(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"))
+
+
+def op12_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_licences, op2_chat, op3_pieces, op4_pii, op5_minhash, op6_toxicity, op7_decontam, op8_quality, op9_urls, op10_classlm)
+    f.__name__: f
+    for f in (
+        op1_licences, op2_chat, op3_pieces, op4_pii, op5_minhash, op6_toxicity, op7_decontam, op8_quality, op9_urls, op10_classlm, op11_retention, op12_classifier, op13_codes,
+    )
 }
 
 
