@@ -25,7 +25,8 @@ ECHO = 8
 #: The most labelled rows, and the most values of theirs, that the model is fitted on; more are thinned by a hash of doc_id.
 FIT_ROWS, FIT_VALUES = 12_000, 12_000_000
 CUT = 0.7
-EPOCHS = 4
+#: Passes over the labelled rows: as many as make UPDATES updates, within bounds, so that a small table is fitted as well.
+UPDATES, LEAST_PASSES, MOST_PASSES = 40_000, 4, 50
 #: Learning rate and its offset; penalties on the size and the square of weights.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 
@@ -111,8 +112,8 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> Model:
-    """FTRL-proximal over (buckets, values, label) in the order given, `epochs` times. One bucket more is the bias, unpenalised by L1.
+def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], updates: int = UPDATES) -> Model:
+    """FTRL-proximal over (buckets, values, label) in the order given, pass after pass. One bucket more is the bias, unpenalised by L1.
 
     With no rows or one label only, every score is near the share of label 1, by add-half smoothing.
     """
@@ -127,7 +128,7 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS
         free = np.where(at == BUCKETS, 0, L1)
         return np.where(np.abs(z[at]) <= free, 0.0, -(z[at] - np.sign(z[at]) * free) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
-    for _ in range(epochs):
+    for _ in range(min(max(-(-updates // len(data)), LEAST_PASSES), MOST_PASSES)):
         for at, value, y in data:
             w = weight(at)
             g = (logistic(w @ value + prior) - y) * value
