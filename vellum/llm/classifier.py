@@ -122,14 +122,14 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], updates: int = UPDAT
     if good in (0, len(examples)):
         return Model(bias=prior)
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    data = [(np.append(b, BUCKETS), np.append(v, 1.0), y) for b, v, y in examples]
 
     def weight(at: np.ndarray) -> np.ndarray:
         free = np.where(at == BUCKETS, 0, L1)
         return np.where(np.abs(z[at]) <= free, 0.0, -(z[at] - np.sign(z[at]) * free) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
-    for _ in range(min(max(-(-updates // len(data)), LEAST_PASSES), MOST_PASSES)):
-        for at, value, y in data:
+    for _ in range(min(max(-(-updates // len(examples)), LEAST_PASSES), MOST_PASSES)):
+        for buckets, values, y in examples:
+            at, value = np.append(buckets, BUCKETS), np.append(values, 1.0)
             w = weight(at)
             g = (logistic(w @ value + prior) - y) * value
             new = n[at] + g * g
@@ -174,10 +174,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, values:
         while share and (found.where(mixed < share).agg(F.sum(F.size("buckets"))).first()[0] or 0) > values:
             share = share * 3 // 4
         got = found.where(mixed < share).select(mixed.alias("place"), "doc_id", "buckets", "values", "quality").toArrow()
-    keys = list(zip(got["place"].to_pylist(), got["doc_id"].to_pylist(), (len(b) for b in got["buckets"]), range(got.num_rows), strict=True))
-    take = lambda name, k: got[name][k].values.to_numpy()
-    quality = got["quality"].to_pylist()
-    return fit([(take("buckets", k), take("values", k).astype(float), quality[k]) for *_, k in sorted(keys)])
+    keys = sorted(zip(got["place"].to_pylist(), got["doc_id"].to_pylist(), (len(b) for b in got["buckets"]), range(got.num_rows), strict=True))
+    take = lambda name, k: got[name][k].values.to_numpy()  # noqa: E731  a view, not a copy
+    return fit([(take("buckets", k), take("values", k), got["quality"][k].as_py()) for *_, k in keys])
 
 
 def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
