@@ -33,6 +33,21 @@ def test_screen_and_status(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["parsing"]["done"]
 
 
+def test_near_duplicates_are_told_and_not_ranked(spark, tmp_path):
+    raw, out = tmp_path / "raw", tmp_path / "out"
+    raw.mkdir()
+    text = "plain prose about nothing in particular, told at some length so that it fills a line or two of text"
+    for name, said in (("a", text), ("b", text + "."), ("c", "other words altogether"), ("d", text.upper())):
+        (raw / f"{name}.txt").write_text(said)
+    (tmp_path / "job.txt").write_text("We want Python")
+    told = ["screen", str(raw), str(out), "--job", str(tmp_path / "job.txt"), "--at", "2024-01-15"]
+    assert main(told) == 0
+    assert sorted(r["candidate_id"] for r in spark.read.json(str(out / "ranking")).collect()) == ["Candidate_01", "Candidate_03"]
+    got = sorted((r["file_name"], r["detail"]) for r in spark.read.json(str(out / "errors")).where("kind = 'DUPLICATE'").collect())
+    assert got == [("b.txt", "near-duplicate of Candidate_01"), ("d.txt", "near-duplicate of Candidate_01")]
+    assert main([*told, "--keep-duplicates"]) == 0 and spark.read.json(str(out / "ranking")).count() == 4
+
+
 def test_unknown_stage():
     with pytest.raises(ValueError):
         write_screening(Screening(None, None), "nowhere", ("cooking",))

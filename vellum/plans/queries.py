@@ -24,7 +24,7 @@ from vellum.operators import audit, dedup, fairness, views
 from vellum.operators.explanations import explain_ranking, verdict_histogram
 from vellum.operators.rank import global_rank, rank_candidates, score_candidates, semantic_scores
 from vellum.plans.screening import screen
-from vellum.session import checkpointed, spread
+from vellum.session import Tables, checkpointed, spread
 from vellum.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,8 +166,7 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    pairs = checkpointed(dedup.near_duplicate_pairs(own))
-    return dedup.greedy_keep(own, pairs)
+    return dedup.near_duplicates(own)
 
 
 def skills_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,6 +278,25 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.upsert(old, new, ("o_orderkey",), ("first_seen",))
 
 
+def upsert_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients with all their changes in one batch, which repeats keys: the last change wins, the source stays the first."""
+    columns = ("client_id", "source", "segment", "city", "balance")
+    new = t(spark, sf_dir, "client_changes").select(*columns, "seq", "change_id", "valid_at")
+    return store.upsert(t(spark, sf_dir, "clients").select(*columns), new, ("client_id",), ("source",), ("seq", "change_id", "valid_at"))
+
+
+def store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders saved to a store in two commits, a run for each priority: of a customer's orders the last is kept."""
+    kept = store.Store(spark, Tables(spark).root)
+    orders = t(spark, sf_dir, "orders")
+    row = [F.col("o_orderpriority").alias("run_id"), F.col("o_custkey").cast("string").alias("candidate_id"), F.col("o_totalprice").alias("final_score"), F.col("o_orderstatus").alias("verdict"), F.col("o_orderkey").cast("string").alias("ranked_at"), "o_orderkey"]
+    empty = {"rank": "int", "semantic_score": "double", "keyword_score": "double", "quality_score": "double", "matched_skills": "string", "missing_skills": "string", "recommendation": "string"}
+    rows = orders.select(*row).withColumns({c: F.lit(None).cast(k) for c, k in empty.items()})
+    for batch in ("verdict = 'F'", "verdict <> 'F'"):
+        kept.save("ranking_results", rows.where(batch), ("o_orderkey",))
+    return kept.read("ranking_results").select("run_id", "candidate_id", "final_score", "verdict", "ranked_at")
+
+
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = Run(spark, sf_dir)
     r = run.ranking.withColumn("run_id", F.lit("RUN_1"))
@@ -378,6 +396,6 @@ QUERIES: dict[str, Query] = {
     "score_compression": _flag(fairness.score_compression), "quality_spread": _flag(fairness.quality_spread), "skill_gap": _flag(fairness.skill_gap),
     "semantic_gap": _flag(fairness.semantic_gap), "parsed_coverage": _flag(fairness.parsed_coverage, "labelled"), "experience_correlation": correlation, "zero_match": zero_match,
     "bias_summary": bias_summary, "ranked_without_record": unparsed, "audit_event_log": audit_events, "event_summary": event_summary, "gdpr_checks": gdpr,
-    "prev_next": prev_next, "verdict_filter": verdict_filter, "csv_export": csv_export, "latest_run": latest_run, "upsert_merge": upsert_merge,
+    "prev_next": prev_next, "verdict_filter": verdict_filter, "csv_export": csv_export, "latest_run": latest_run, "upsert_merge": upsert_merge, "upsert_changes": upsert_changes, "store_history": store_history,
     "dashboard_stats": dashboard, "record_digest": record_digest, "audit_overview": overview, "event_windows": event_windows,
 }

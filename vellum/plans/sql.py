@@ -167,6 +167,15 @@ FROM (SELECT (a.n >= 2 AND spread < 0.10)::BIGINT + (a.n >= 2 AND wide > 0.50)::
     "latest_run": "SELECT strftime(ts, '%Y-%m-%d') AS run_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS started_at, count(*) AS total_cvs FROM events GROUP BY 1 ORDER BY started_at DESC, run_id DESC LIMIT 20",
     "upsert_merge": """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 3 <> 0 THEN 'old' ELSE 'new' END AS first_seen
 FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0""",
+    "upsert_changes": """WITH n AS (
+  SELECT client_id, arg_max(struct_pack(segment, city, balance), (seq, change_id, valid_at)) AS last, arg_min(source, (seq, change_id, valid_at)) FILTER (WHERE source IS NOT NULL) AS first
+  FROM client_changes GROUP BY client_id)
+SELECT coalesce(c.client_id, n.client_id) AS client_id, coalesce(c.source, n.first) AS source, CASE WHEN n.last IS NULL THEN c.segment ELSE n.last.segment END AS segment,
+  CASE WHEN n.last IS NULL THEN c.city ELSE n.last.city END AS city, CASE WHEN n.last IS NULL THEN c.balance ELSE n.last.balance END AS balance
+FROM clients c FULL JOIN n ON c.client_id IS NOT DISTINCT FROM n.client_id""",
+    "store_history": """WITH o AS (SELECT *, o_orderstatus <> 'F' AS late FROM orders)
+SELECT o_orderpriority AS run_id, o_custkey::VARCHAR AS candidate_id, arg_max(o_totalprice, (late, o_orderkey)) AS final_score,
+  arg_max(o_orderstatus, (late, o_orderkey)) AS verdict, arg_min(o_orderkey, (late, o_orderkey))::VARCHAR AS ranked_at FROM o GROUP BY ALL""",
     "dashboard_stats": q("""SELECT 'RUN_1' AS run_id, (SELECT count(*) FROM ranked) AS total_cvs, 'completed' AS run_status, 'a' AS started_at, 'b' AS finished_at, candidate_id AS top_candidate, final_score AS top_score,
   (SELECT (a.n >= 2 AND spread < 0.10)::BIGINT + (a.n >= 2 AND wide > 0.50)::BIGINT + (zero > 0)::BIGINT + far::BIGINT + (lost > 0)::BIGINT + (r.n >= 3 AND abs(r.r) > 0.85)::BIGINT FROM a, top, r) AS flags_raised
 FROM ranked WHERE rank = 1""", CHECKS),
