@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.patterns import LANGUAGES
@@ -69,6 +69,65 @@ class Taxonomy:
         return {k: list(dict.fromkeys(v)) for k, v in out.items()}
 
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """spelling, category, ord (place of the name in its category), name: a row for each name that a spelling stands for."""
+        places = [(c, k, n) for c, names in self.names.items() for k, n in enumerate(dict.fromkeys(names))]
+        at: dict[str, list[tuple[str, int, str]]] = {}
+        for row in places:
+            at.setdefault(row[2], []).append(row)
+        rows = [(s, *row) for s, names in self.spellings().items() if s for n in names for row in at.get(n, ())]
+        return spark.createDataFrame(rows, "spelling string, category string, ord int, name string")
+
+
+#: Rows of a table of names up to which it is broadcast.
+BROADCAST_NAMES = 200_000
+
+
+def _cut(spelling: Column, guard: str) -> Column:
+    """struct of a spelling: core, from its first to its last guard character; what stands before and after; runs in the core."""
+    core = F.regexp_extract(spelling, rf"(?s)[{guard}](?:.*[{guard}])?", 0)
+    before = F.regexp_extract(spelling, rf"(?s)^[^{guard}]*", 0)
+    return F.struct(core.alias("core"), before.alias("before"), F.substring(spelling, F.length(before) + F.length(core) + 1, F.length(spelling)).alias("after"), F.regexp_count(core, F.lit(f"[{guard}]+")).alias("runs"))
+
+
+def match_table(texts: DataFrame, names: DataFrame, guard: str, key: str = "key", text: str = "text") -> DataFrame:
+    """key and the columns of names but spelling, once each: names whose spelling stands in a text, as match_names finds them.
+
+    texts: key, text; names: spelling (lower case, not empty) and more. A lower-cased text is cut into runs of guard characters and what
+    stands between them. A spelling with a guard character begins and ends, but for other characters around, at the ends of
+    runs, so every so many runs in a row are looked up by equality, in a hash join; characters around are compared
+    afterwards. The cost is that of the runs, times the different numbers of runs in spellings, however many names there are.
+    Spellings without any guard character are looked for one by one; a table should have few. Null texts count as empty.
+    """
+    spark = texts.sparkSession
+    more = [c for c in names.columns if c != "spelling"]
+    cut = names.where("spelling <> ''").distinct().withColumn("cut", _cut(F.col("spelling"), guard)).select(*more, "spelling", "cut.*")
+    sizes = sorted(r["runs"] for r in cut.where("runs > 0").select("runs").distinct().collect())
+    cut = F.broadcast(cut) if cut.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else cut
+    own = texts.select(F.col(key).alias("_key"), F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
+    pieces = F.regexp_extract_all("_text", F.lit(f"(?s)[{guard}]+|[^{guard}]+"), F.lit(0))
+
+    def rows(p: Column, head: Column) -> Column:
+        """Each run (odd places from `head` on), with 1, 2, ... runs after it as one core, and what stands before and after."""
+        at = lambda k: F.coalesce(F.get(p, k - 1), F.lit(""))
+        core = lambda k, n: F.struct(F.array_join(F.slice(p, k, 2 * n - 1), "").alias("core"), at(k - 1).alias("left"), at(k + 2 * n - 1).alias("right"), (k <= 2).alias("first"), (k + 2 * n - 1 >= F.size(p)).alias("last"))
+        places = F.sequence(head, F.size(p), F.lit(2))
+        return F.array_distinct(F.flatten(F.array(*(F.transform(F.filter(places, lambda k: k + 2 * n - 2 <= F.size(p)), lambda k: core(k, n)) for n in sizes))))
+
+    found = texts.sparkSession.createDataFrame([], cut.select(*more).schema).select(F.lit(None).cast(texts.schema[key].dataType).alias("_key"), *more)
+    if sizes:
+        bound = F.transform(F.array(pieces), lambda p: F.when(F.size(p) == 0, F.array().cast("array<struct<core:string,left:string,right:string,first:boolean,last:boolean>>")).otherwise(F.transform(F.array(F.when(p[0].rlike(f"^[{guard}]"), 1).otherwise(2)), lambda h: F.when(h <= F.size(p), rows(p, h)))[0]))[0]
+        met = own.select("_key", F.explode(bound).alias("_at")).select("_key", "_at.*").join(cut.where("runs > 0"), "core")
+        edge = lambda side, said, alone: (side.endswith(said) if alone == "first" else side.startswith(said)) & ((F.length(said) == 0) | (F.length(side) > F.length(said)) | F.col(alone))
+        met = met.where(edge(F.col("left"), F.col("before"), "first") & edge(F.col("right"), F.col("after"), "last"))
+        found = found.unionByName(met.select("_key", *more))
+    odd = names.where(~F.col("spelling").rlike(f"[{guard}]") & (F.col("spelling") != "")).distinct().collect()
+    for r in odd:
+        pattern = rf"(?<![{guard}]){_quote(r['spelling'])}(?![{guard}])"
+        found = found.unionByName(own.where(F.col("_text").rlike(pattern)).select("_key", *(F.lit(r[c]).alias(c) for c in more)))
+    return found.distinct().withColumnRenamed("_key", key)
+
+
 def match_names(text: Column, spellings: Mapping[str, Iterable[str]], guard: str) -> Column:
     """Distinct names whose spelling stands in the lower-cased text with no guard character on either side.
 
