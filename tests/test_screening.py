@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from vellum import schemas
 from vellum.errors import EmptyQueryError, LeakError, ScreeningError
+from tests.plain_parser import roles_of, sections_of, span_of
 from vellum.functions import redact
 from vellum.functions.explain import headline, highest_education, verdict, years
-from vellum.functions.parse import roles_of, sections_of, span_of
 from vellum.functions.taxonomy import CV_GUARD, JOB_GUARD, Taxonomy, match_names
 from vellum.functions.text import percent, rounded
 from vellum.operators import audit, dedup, fairness, views

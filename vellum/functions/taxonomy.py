@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.patterns import LANGUAGES
+from vellum.session import spread
 
 #: Categories that every skills map has.
 CATEGORIES = ("technical", "soft", "tools", "languages")
@@ -104,7 +105,7 @@ def match_table(texts: DataFrame, names: DataFrame, guard: str, key: str = "key"
     cut = names.where("spelling <> ''").distinct().withColumn("cut", _cut(F.col("spelling"), guard)).select(*more, "spelling", "cut.*")
     sizes = sorted(r["runs"] for r in cut.where("runs > 0").select("runs").distinct().collect())
     cut = F.broadcast(cut) if cut.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else cut
-    own = texts.select(F.col(key).alias("_key"), F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
+    own = spread(texts.select(key, text)).select(F.col(key).alias("_key"), F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
     pieces = F.regexp_extract_all("_text", F.lit(f"(?s)[{guard}]+|[^{guard}]+"), F.lit(0))
 
     def rows(p: Column, head: Column) -> Column:
@@ -112,7 +113,7 @@ def match_table(texts: DataFrame, names: DataFrame, guard: str, key: str = "key"
         at = lambda k: F.coalesce(F.get(p, k - 1), F.lit(""))
         core = lambda k, n: F.struct(F.array_join(F.slice(p, k, 2 * n - 1), "").alias("core"), at(k - 1).alias("left"), at(k + 2 * n - 1).alias("right"), (k <= 2).alias("first"), (k + 2 * n - 1 >= F.size(p)).alias("last"))
         places = F.sequence(head, F.size(p), F.lit(2))
-        return F.array_distinct(F.flatten(F.array(*(F.transform(F.filter(places, lambda k: k + 2 * n - 2 <= F.size(p)), lambda k: core(k, n)) for n in sizes))))
+        return F.flatten(F.array(*(F.transform(F.filter(places, lambda k: k + 2 * n - 2 <= F.size(p)), lambda k: core(k, n)) for n in sizes)))
 
     found = texts.sparkSession.createDataFrame([], cut.select(*more).schema).select(F.lit(None).cast(texts.schema[key].dataType).alias("_key"), *more)
     if sizes:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import redact, scoring
 from vellum.functions.parse import parse_texts
-from vellum.functions.taxonomy import CV_GUARD, Taxonomy, job_skills, match_names
+from vellum.functions.taxonomy import CV_GUARD, Taxonomy, job_skills, match_names, match_table
 
 from vellum.operators import audit, dedup, fairness, views
 from vellum.operators.explanations import explain_ranking, verdict_histogram
@@ -174,6 +174,43 @@ def skills_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("skill"))
 
 
+def benchmark_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """spelling, name: all words of three letters or more of the benchmark, and all pairs of such words in a row."""
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= 3)
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    found = t(spark, sf_dir, "benchmark").select(F.explode(F.concat(words, pairs)).alias("spelling")).where("spelling is not null").distinct()
+    return found.withColumn("name", F.upper("spelling"))
+
+
+def taxonomy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many names of the benchmark each document holds, and a digest of them; documents without any are left out."""
+    found = match_table(t(spark, sf_dir, "documents"), benchmark_names(spark, sf_dir), CV_GUARD, "doc_id")
+    names = F.sort_array(F.collect_list("name"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_names"), F.sha2(F.array_join(names, ","), 256).alias("names_sha256"))
+
+
+def change_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """candidate_id, text: records made of twenty client changes each, every change a job with its period told in one of three ways."""
+    own = t(spark, sf_dir, "client_changes").where("change_id is not null").select("change_id", "source", "segment", "city").distinct()
+    k = F.col("change_id")
+    said = lambda c: F.coalesce(c, F.lit("none"))
+    month = lambda m: F.concat(F.element_at(F.array(*map(F.lit, ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"))), (m % 12 + 1).cast("int")), F.lit(" "), (1990 + F.floor(m / 12)).cast("string"))
+    first = F.concat(said("segment"), F.lit(" lead\n"), month(k % 360), F.lit(" - "), month(k % 360 + k % 50), F.lit("\n- moved to "), said("city"))
+    second = F.concat(said("city"), F.lit(" post, "), (1990 + k % 30).cast("string"), F.lit(" - "), (1990 + k % 30 + k % 5).cast("string"), F.lit("\nheld duties"))
+    third = F.concat(said("source"), F.lit(" work "), (k % 40).cast("string"), F.lit(" months"))
+    job = F.when(k % 3 == 0, first).when(k % 3 == 1, second).otherwise(third)
+    jobs = F.array_sort(F.collect_list(F.struct("change_id", job.alias("job"))))
+    text = F.concat(F.lit("Experience\n"), F.array_join(F.transform(jobs, lambda x: x["job"]), "\n\n"), F.lit("\n\nLanguages\nEnglish"))
+    return own.groupBy(F.floor(k / 20).alias("record")).agg(text.alias("text")).select(F.col("record").cast("string").alias("candidate_id"), "text")
+
+
+def parse_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("sections")
+    out = parse_texts(change_records(spark, sf_dir), Taxonomy(), AS_OF)
+    periods = F.array_join(F.transform(s["experience"], lambda r: F.concat(r["period"], F.lit("="), r["duration_months"])), "|")
+    return out.select("candidate_id", F.size(s["experience"]).alias("n_roles"), s["total_experience_months"].alias("months"), periods.alias("periods"), F.array_join(s["languages"], ",").alias("languages"))
+
+
 def jd_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = word_taxonomy(spark, sf_dir).names["technical"]
     return t(spark, sf_dir, "benchmark").select("item_id", F.explode(job_skills(F.col("text"), names)).alias("skill"))
@@ -391,7 +428,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "screen_documents": flagship, "judge_documents": judge_documents, "redact_email": redact_email, "redact_dates": redact_dates, "neutral_pronouns": neutral_pronouns, "redact_page_urls": redact_page_urls,
     "validate_leaks": leaks, "anonymize_documents": anonymize_documents, "golden_redaction": golden_redaction, "golden_parsing": golden_parsing, "exact_dedup": exact_dedup,
-    "near_dedup": near_dedup, "skills_by_document": skills_by_document, "jd_skills": jd_skills, "keyword_score": keyword_score, "semantic_score": semantic,
+    "near_dedup": near_dedup, "skills_by_document": skills_by_document, "taxonomy_match": taxonomy_match, "parse_periods": parse_periods, "jd_skills": jd_skills, "keyword_score": keyword_score, "semantic_score": semantic,
     "rank_candidates": rank_all, "explain_lists": explain_lists, "verdict_histogram": histogram, "score_distribution": distribution,
     "score_compression": _flag(fairness.score_compression), "quality_spread": _flag(fairness.quality_spread), "skill_gap": _flag(fairness.skill_gap),
     "semantic_gap": _flag(fairness.semantic_gap), "parsed_coverage": _flag(fairness.parsed_coverage, "labelled"), "experience_correlation": correlation, "zero_match": zero_match,

@@ -111,6 +111,18 @@ SELECT doc_id, sha256(regexp_replace(t, '{NAMED}', '[DATE_REDACTED]', 'g')) AS t
     "exact_dedup": r"""WITH d AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS h FROM documents WHERE text IS NOT NULL AND trim(regexp_replace(text, '\s+', ' ', 'g')) <> '')
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS first, doc_id <> min(doc_id) OVER (PARTITION BY h) AS is_duplicate FROM d""",
     "skills_by_document": q("SELECT doc_id, w AS skill FROM has"),
+    "taxonomy_match": r"""WITH b AS (SELECT list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 3) AS w FROM benchmark),
+n AS (SELECT unnest(w) AS n FROM b UNION SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b),
+p AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zA-Z0-9.+#]+|[^a-zA-Z0-9.+#]+') AS p FROM documents),
+f AS (SELECT doc_id, unnest(p) AS n FROM p UNION SELECT doc_id, unnest(list_transform(range(2, len(p)), lambda i: p[i - 1] || p[i] || p[i + 1])) FROM p)
+SELECT doc_id, count(*) AS n_names, sha256(string_agg(upper(n), ',' ORDER BY upper(n))) AS names_sha256 FROM f SEMI JOIN n USING (n) GROUP BY doc_id""",
+    "parse_periods": """WITH c AS (SELECT DISTINCT change_id AS k FROM client_changes WHERE change_id IS NOT NULL),
+m AS (SELECT k, ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'] AS names, k % 360 AS a, k % 360 + k % 50 AS b FROM c),
+p AS (SELECT k, CASE k % 3 WHEN 0 THEN k % 50 WHEN 1 THEN 12 * (k % 5) ELSE k % 40 END AS months,
+  CASE k % 3 WHEN 0 THEN names[a % 12 + 1] || ' ' || (1990 + a // 12) || ' - ' || names[b % 12 + 1] || ' ' || (1990 + b // 12)
+    WHEN 1 THEN (1990 + k % 30) || ' - ' || (1990 + k % 30 + k % 5) ELSE (k % 40) || ' months' END AS period FROM m)
+SELECT (k // 20)::VARCHAR AS candidate_id, count(*)::INT AS n_roles, sum(months)::INT AS months, string_agg(period || '=' || months, '|' ORDER BY k) AS periods, 'English' AS languages
+FROM p GROUP BY k // 20""",
     "jd_skills": q("SELECT item_id, w AS skill FROM benchmark, tax WHERE regexp_matches(lower(text), '(^|[^a-z0-9-])' || w || '($|[^a-z0-9-])')"),
     "keyword_score": q("""SELECT d.doc_id, coalesce(string_agg(j.w, ',' ORDER BY j.w) FILTER (WHERE h.w IS NOT NULL), '') AS matched,
   coalesce(string_agg(j.w, ',' ORDER BY j.w) FILTER (WHERE h.w IS NULL), '') AS missing, round(count(h.w)::DOUBLE / count(*), 6) AS keyword_score
