@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -120,3 +121,24 @@ def test_language_model_of_nothing(spark, empty):
     one = spark.createDataFrame([(k, None) for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2][:1], "doc_id long, text string")
     row = classlm.score_documents(one).first()
     assert (row["train_tokens"], row["n_tokens"], row["n_known"]) == (0, 1, 0) and math.isclose(row["base_score"], 0.0, abs_tol=1e-9)
+
+
+def test_one_long_text_takes_linear_time():
+    words = ["you", "idiot", "plain", "words", "scum", "here", "and", "there"]
+    r = random.Random(3)
+    for n in (40, 400):
+        hits, persons = sorted(r.sample(range(n), n // 5)), sorted(r.sample(range(n), n // 9))
+        assert toxicity.beside(hits, persons) == sum(any(abs(k - p) <= toxicity.NEAR for p in persons) for k in hits)
+    assert toxicity.beside([3], []) == toxicity.beside([30], [1]) == 0 and toxicity.beside([6], [1]) == toxicity.beside([1], [6]) == 1
+    text = " ".join(r.choice(words) for _ in range(1_000_000))
+    began = time.time()
+    assert toxicity.features(text, toxicity.Lexicon())[6] > 0.1
+    assert time.time() - began < 30
+
+
+def test_fitted_texts_are_bounded_by_characters(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "word " * 50) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    every = len(toxicity.training_rows(docs, labels))
+    monkeypatch.setattr(toxicity, "FIT_CHARS", 10_000)
+    assert 0 < len(toxicity.training_rows(docs, labels)) <= 40 < every

@@ -1,64 +1,14 @@
-"""Where intermediate tables go: the shared folder that the cluster names, never an executor's own disk."""
+"""Where intermediate tables go, and rows known by id and text."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import sys
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where it is unset (tests on one machine), a temporary folder is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        _OWN[app] = tempfile.mkdtemp(prefix="vellum-")
-        atexit.register(shutil.rmtree, _OWN[app], True)
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return spark.sparkContext.getCheckpointDir() or _OWN[app]
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends at files in the shared folder, which survive the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-class Scratch:
-    """Parquet tables of one operator run in the shared folder. close() removes them; results must not depend on them."""
+from vellum.session import Tables as Scratch
+from vellum.session import checkpointed, shared_dir, ship
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self.drop()
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, name: str = "") -> None:
-        jvm, path = self.spark._jvm, f"{self.root}/{name}".rstrip("/")
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["Scratch", "checkpointed", "matched", "shared_dir", "ship"]
 
 
 def matched(documents: DataFrame, rows: DataFrame, how: str) -> DataFrame:
@@ -67,20 +17,3 @@ def matched(documents: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     one, two = next(names), next(names)
     rows = rows.select(F.col("doc_id").alias(one), F.col("text_hash").alias(two)).distinct()
     return documents.join(rows, F.col("doc_id").eqNullSafe(F.col(one)) & (F.xxhash64("text") == F.col(two)), how)
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to executors that could not import it otherwise (it is neither installed nor on PYTHONPATH)."""
-    root = Path(__file__).resolve().parents[2]
-    reach = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":"), *(p for p in sys.path if "site-packages" in p)]
-    app = f"zip-{spark.sparkContext.applicationId}"
-    if str(root) in reach or app in _OWN:
-        return
-    folder = tempfile.mkdtemp(prefix="vellum-zip-")
-    atexit.register(shutil.rmtree, folder, True)
-    with zipfile.ZipFile(f"{folder}/vellum.zip", "w") as z:
-        for f in (root / "vellum").rglob("*"):
-            if f.is_file() and "__pycache__" not in f.parts:
-                z.write(f, f.relative_to(root))
-    spark.sparkContext.addPyFile(f"{folder}/vellum.zip")
-    _OWN[app] = folder

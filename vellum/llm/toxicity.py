@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The most labelled rows that are fitted on; more are thinned by a hash of doc_id.
-FIT_ROWS = 12_000
+from vellum.llm._stage import ship
+
+#: The most labelled rows, and characters of theirs, that are fitted on; more are thinned by a hash of doc_id.
+FIT_ROWS, FIT_CHARS = 12_000, 64_000_000
 #: The most learned lexicon entries.
 LEXICON_SIZE = 4_000
 PREFIX = 5
@@ -55,6 +57,15 @@ def tokens(text: str) -> list[str]:
     return [w.strip(_EDGE) for w in _WORD.findall(text.lower())]
 
 
+def beside(hits: list[int], persons: list[int]) -> int:
+    """How many of the places in hits have one of persons within NEAR words; both ascend."""
+    if not persons:
+        return 0
+    at, to = np.array(hits), np.array(persons)
+    first = np.searchsorted(to, at - NEAR)
+    return int((to[np.minimum(first, len(to) - 1)] <= at + NEAR)[first < len(to)].sum())
+
+
 def features(text: str, lexicon: Lexicon) -> list[float]:
     raw = _WORD.findall(text)
     n = len(raw)
@@ -66,10 +77,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     learned = [lexicon.words[w] for w in low if w in lexicon.words]
     starts = [lexicon.prefixes[p] for w in low if len(w) > PREFIX and (p := w[:PREFIX]) in lexicon.prefixes]
     hits = fixed if fixed else [k for k, w in enumerate(low) if w in lexicon.words] if learned else []
-    near = 0
-    if hits:
-        persons = [k for k, w in enumerate(low) if w in SECOND_PERSON]
-        near = sum(any(abs(k - p) <= NEAR for p in persons) for k in hits) if persons else 0
+    near = beside(hits, [k for k, w in enumerate(low) if w in SECOND_PERSON]) if hits else 0
     odd = [w for w in raw if not w.isalpha() and (c := w.strip(_EDGE)) and not c.isalpha() and not c.isdigit() and c.isascii()]
     unmasked = [w.lower().translate(LEET).replace("*", "").replace(".", "").strip(_EDGE) for w in odd]
     disguised = sum(w in INSULTS for w in unmasked)
@@ -214,7 +222,8 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> list[tuple[int, str, int]]:
-    """(doc_id, text, toxic) of labelled rows that are not held out, in order; about `most` at most, thinned by a hash.
+    """(doc_id, text, toxic) of labelled rows that are not held out, in order; about `most` at most, thinned by a hash, and
+    further until their texts have FIT_CHARS characters at most.
 
     Of several labels for one doc_id the largest counts. Null ids and labels are left out.
     """
@@ -225,7 +234,10 @@ def training_rows(documents: DataFrame, labels: DataFrame, most: int = FIT_ROWS)
     chosen = lambda c: F.pmod(F.xxhash64(c), F.lit(1_000_000)) < share
     found = documents.select("doc_id", "text").where(chosen(F.col("doc_id")))
     found = found.join(F.broadcast(own.where(chosen(F.col("label_id")))), F.col("doc_id") == F.col("label_id"))
-    got = found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
+    mixed, part = F.pmod(F.xxhash64("doc_id", F.lit("thin")), F.lit(1_000_000)), 1_000_000
+    while part and (found.where(mixed < part).agg(F.sum(F.length("text"))).first()[0] or 0) > FIT_CHARS:
+        part = part * 3 // 4
+    got = found.where(mixed < part).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
     return sorted(zip(*(got.column(k).to_pylist() for k in range(3)), strict=True)) if got.num_rows else []
 
 
@@ -235,6 +247,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     Nothing but the text enters a score; null counts as empty. Repeated rows stay.
     """
     spark = documents.sparkSession
+    ship(spark)
     model = spark.sparkContext.broadcast(fit(training_rows(documents, labels)))
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
