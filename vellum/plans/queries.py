@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime
-from functools import cached_property
-
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from vellum.functions.parse import parse_texts
 from vellum.functions.taxonomy import CV_GUARD, Taxonomy, job_skills, match_names, match_table
 
 from vellum.operators import audit, dedup, fairness, views
+from vellum.operators.digest import tree_levels
 from vellum.operators.explanations import explain_ranking, verdict_histogram
 from vellum.operators.rank import global_rank, rank_candidates, score_candidates, semantic_scores
 from vellum.plans.screening import screen
@@ -346,6 +346,13 @@ def record_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+def audit_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the hash tree over the events, by level and place."""
+    said = F.concat_ws("|", "event_id", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "props")
+    levels = tree_levels(t(spark, sf_dir, "events"), said, F.col("event_id"))
+    return reduce(DataFrame.unionByName, (d.select(F.lit(k).alias("level"), "place", "digest") for k, d in enumerate(levels)))
+
+
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = Run(spark, sf_dir)
     return audit.overview(run.vault, run.ranking, run.explanations, run.parsed)
@@ -434,5 +441,5 @@ QUERIES: dict[str, Query] = {
     "semantic_gap": _flag(fairness.semantic_gap), "parsed_coverage": _flag(fairness.parsed_coverage, "labelled"), "experience_correlation": correlation, "zero_match": zero_match,
     "bias_summary": bias_summary, "ranked_without_record": unparsed, "audit_event_log": audit_events, "event_summary": event_summary, "gdpr_checks": gdpr,
     "prev_next": prev_next, "verdict_filter": verdict_filter, "csv_export": csv_export, "latest_run": latest_run, "upsert_merge": upsert_merge, "upsert_changes": upsert_changes, "store_history": store_history,
-    "dashboard_stats": dashboard, "record_digest": record_digest, "audit_overview": overview, "event_windows": event_windows,
+    "dashboard_stats": dashboard, "record_digest": record_digest, "audit_tree": audit_tree, "audit_overview": overview, "event_windows": event_windows,
 }

@@ -192,6 +192,10 @@ SELECT o_orderpriority AS run_id, o_custkey::VARCHAR AS candidate_id, arg_max(o_
   (SELECT (a.n >= 2 AND spread < 0.10)::BIGINT + (a.n >= 2 AND wide > 0.50)::BIGINT + (zero > 0)::BIGINT + far::BIGINT + (lost > 0)::BIGINT + (r.n >= 3 AND abs(r.r) > 0.85)::BIGINT FROM a, top, r) AS flags_raised
 FROM ranked WHERE rank = 1""", CHECKS),
     "record_digest": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "audit_tree": f"""WITH l0 AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS place,
+  sha256('0:' || concat_ws('|', event_id, user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S'), props)) AS digest FROM events),
+{', '.join(f"l{k} AS (SELECT place // 256 AS place, sha256('1:' || string_agg(digest, '' ORDER BY place)) AS digest FROM l{k - 1} WHERE (SELECT count(*) FROM l{k - 1}) > 1 GROUP BY place // 256)" for k in range(1, 5))}
+{' UNION ALL '.join(f"SELECT {k} AS level, place::BIGINT AS place, digest FROM l{k}" for k in range(5))}""",
     "audit_overview": q(f"""SELECT candidate_id, {EMAILS.replace('text', 'c.text')}::INT AS pii_count, r.rank, r.final_score, j.verdict,
   CASE WHEN r.parsed THEN round(r.q, 4) END AS quality_score FROM cand c JOIN ranked r USING (candidate_id) JOIN judged j USING (candidate_id)"""),
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions.text import is_blank
 from vellum.operators.rank import global_rank
+from vellum.sources.sinks import LOOKUP_BUCKETS, lookup_bucket
 
 EXTENSIONS = (".txt", ".pdf", ".docx")
 MAX_BYTES = 10 * 1024 * 1024
@@ -132,6 +133,18 @@ def read_records(spark: SparkSession, folder: str, schema: str, skip: Iterable[s
     return df.withColumn("candidate_id", F.coalesce("candidate_id", F.regexp_replace("_file", r"\.json$", ""))).drop("_corrupt", "_file")
 
 
+def lookup(spark: SparkSession, path: str, schema: str, candidate_id: str | None, buckets: int = LOOKUP_BUCKETS) -> DataFrame:
+    """The records of one candidate from what write_lookup wrote with as many buckets; no rows for an id that is not there or null.
+
+    One folder is read, and of its files the row groups that may hold the id.
+    """
+    records = spark.read.schema(f"{schema}, lookup_bucket int").parquet(path)
+    if candidate_id is None:
+        return records.where("false").drop("lookup_bucket")
+    bucket = spark.range(1).select(lookup_bucket(F.lit(candidate_id), buckets)).first()[0]
+    return records.where((F.col("lookup_bucket") == bucket) & (F.col("candidate_id") == candidate_id)).drop("lookup_bucket")
+
+
 def read_vault(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """Vault records; where a folder has none of its own, those of vault_master.json (a map by candidate)."""
     records = read_records(spark, folder, schema, skip=("vault_master.json", "error_log.json"))
