@@ -98,3 +98,44 @@ def test_nothing(spark, empty):
     one = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert decontam.leaks(empty, one).collect() == [] and decontam.leaks(docs, none).collect() == []
+
+
+def test_equal_windows_walk_alike_and_short_items_need_one_repetition():
+    r = np.random.default_rng(5)
+    for n in (1, 2, 3, 4, 7, 15, 40):
+        item = r.integers(1, 2**60, n).astype(np.uint64)
+        text = np.concatenate([r.integers(1, 2**60, 9).astype(np.uint64), item, r.integers(1, 2**60, 9).astype(np.uint64)])
+        kind = decontam.class_of(n)
+        for rep in range(decontam.REPETITIONS):
+            (a, passed), (b, _) = (decontam.walk_keys(h, s, rep, (kind,))[kind] for h, s in ((item, np.arange(n)), (text, np.arange(9, 9 + n))))
+            assert passed[0] < n and (a[passed + np.arange(n) < n] == b[passed + np.arange(n) < n]).all()
+
+
+def test_every_length_is_found_by_walks_at_the_most_edits():
+    """Recall of the walks alone, a repetition at a time, with as many edits as an item may have."""
+    r, missed, tried = random.Random(9), 0, 0
+    for n in (5, 6, 8, 10, 12, 15, 16, 20, 25, 30, 45):
+        for _ in range(30):
+            item = [f"w{r.randrange(10**9)}" for _ in range(n)]
+            doc = [f"w{r.randrange(10**9)}" for _ in range(7)] + edited(item, int(decontam.MAX_EDITS * n), r) + [f"w{r.randrange(10**9)}" for _ in range(20)]
+            index = decontam.Index([(1, " ".join(item))])
+            (_, _, h, _), = decontam.words(decontam.pa.array([" ".join(doc)]))
+            tried += 1
+            missed += not len(index.collisions(h, np.zeros(len(h), np.int64)))
+    assert missed <= 0.01 * tried
+
+
+def test_items_in_several_blocks(spark, monkeypatch):
+    items = [(k, " ".join(prose(2000 + k, 14).split())) for k in range(12)]
+    docs = spark.createDataFrame([(k, prose(k, 30) + " " + t + " " + prose(k + 50, 30)) for k, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    once = sorted(map(tuple, decontam.leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK", 5)
+    assert sorted(map(tuple, decontam.leaks(docs, bench).collect())) == once and len(once) >= 12
+
+
+def test_a_text_of_megabytes(spark):
+    item = " ".join(prose(77, 25).split())
+    long = " ".join([prose(1, 200_000), item, prose(2, 200_000)])
+    got = decontam.leaks(spark.createDataFrame([(1, long)], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(x["doc_id"], x["item_id"], x["edits"]) for x in got] == [(1, 5, 0)]

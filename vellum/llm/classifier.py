@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import _words
 from vellum.llm._stage import Scratch, ship
+from vellum.session import spread
 
 BUCKETS = 1 << 18
 ECHO = 8
@@ -193,5 +194,5 @@ def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(model.value.score(batch.column("text")))], names=["doc_id", "score"])
 
-    out = documents.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
+    out = spread(documents.select("doc_id", "text")).mapInArrow(scored, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -6,7 +6,7 @@ steps. CLASSES holds, by the number of an item's words, how many steps a walk ha
 than the shortest item of the class has words, so that a walk from its first word stays inside. A text is walked from every
 word, an item from each word from which the walk stays inside it. Each of REPETITIONS repetitions samples other steps under
 other bits; walks that agree at all samples collide. At the most edits (MAX_EDITS of the words, at random places) one repetition finds an
-item with probability 0.82 or more at every length, as measured, so that six miss fewer than one in 10,000. Items of
+item with probability 0.83 or more at every length, as measured, so that five miss about one in 10,000 at most. Items of
 fewer than five words may have no edit, and equal walks always collide. Each collision is verified: the word edit distance
 of the item to the best substring of the text around the place must be at most MAX_EDITS of the item's words.
 """
@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from vellum.llm._stage import Scratch, matched, ship
 from vellum.llm._words import Members, mix, words
+from vellum.session import spread
 
-REPETITIONS = 6
+REPETITIONS = 5
 #: (least words of an item, steps, samples); an item belongs to the last class that it reaches.
-CLASSES = ((1, 1, 1), (2, 2, 2), (3, 3, 3), (4, 4, 3), (5, 5, 2), (8, 8, 3), (12, 8, 4), (20, 12, 4))
+CLASSES = ((1, 1, 1), (2, 2, 2), (3, 3, 3), (4, 4, 3), (5, 5, 2), (8, 8, 4), (12, 8, 5), (16, 10, 6), (20, 12, 6), (30, 16, 8))
+PAD = max(steps for _, steps, _ in CLASSES)
 MAX_EDITS = 0.2
 #: Items of at most so many words have their collisions sifted before they are verified one by one.
-SIFTED = 19
+SIFTED = 64
 #: Items in one scan; more are taken in blocks of as many, one scan each.
 BLOCK = 20_000
 HITS = "doc_id long, text_hash long, item_id long, start_word long, edits long, item_words long"
@@ -47,16 +49,17 @@ def class_of(n: int) -> int:
 
 
 def walk_keys(h: np.ndarray, starts: np.ndarray, repetition: int, kinds: Iterable[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Of each class: (LSH key, words passed at the last sampled step) of the walks from `starts`; h must end with a pad word.
+    """Of each class: (LSH key, words passed at the last sampled step) of the walks from `starts`.
 
-    Classes share a walk and differ in what they sample.
+    Classes share a walk and differ in what they sample. Past the end of h every word is 0.
     """
     wanted = {kind: picks(kind, repetition) for kind in kinds}
-    bits = mix(h ^ U64(0x1234567 + repetition))
-    at = starts.copy()
+    h = np.concatenate([h, np.zeros(PAD, U64)])
+    bits = mix(h ^ U64(0x1234567 + repetition)).astype(np.uint32)
+    at = starts.astype(np.int32)
     keys = {kind: np.full(len(starts), repetition + 1 + 100 * kind, U64) for kind in wanted}
     passed: dict[int, np.ndarray] = {}
-    end, last = len(h) - 1, max((p[-1] for p in wanted.values()), default=-1)
+    last = max((p[-1] for p in wanted.values()), default=-1)
     with np.errstate(over="ignore"):
         for step in range(last + 1):
             said = None
@@ -68,8 +71,7 @@ def walk_keys(h: np.ndarray, starts: np.ndarray, repetition: int, kinds: Iterabl
                 if step == own[-1]:
                     passed[kind] = at - starts
             if step < last:
-                at += (bits[at] >> U64(step) & U64(1)).astype(at.dtype)
-                np.minimum(at, end, out=at)
+                at += (bits[at] >> np.uint32(step) & np.uint32(1)).astype(np.int32)
     return {kind: (mix(keys[kind]), passed[kind]) for kind in wanted}
 
 
@@ -119,7 +121,7 @@ class Index:
         for k, own in enumerate(self.words):
             kind, starts = class_of(len(own)), np.arange(len(own))
             for r in range(REPETITIONS):
-                key, passed = walk_keys(np.append(own, U64(0)), starts, r, (kind,))[kind]
+                key, passed = walk_keys(own, starts, r, (kind,))[kind]
                 fits = starts + passed < len(own)
                 held.setdefault((r, kind), []).append((key[fits], np.full(int(fits.sum()), k), starts[fits]))
         self.tables = {}
@@ -139,9 +141,9 @@ class Index:
         A place may be a few words off, and lies before the text's first word where the window shows no item's beginning.
         """
         found = [np.zeros((0, 3), np.int64)]
-        padded, starts = np.append(h, U64(0)), np.arange(len(h))
+        starts = np.arange(len(h))
         for r in range(REPETITIONS):
-            for kind, (key, _) in walk_keys(padded, starts, r, self.kinds).items():
+            for kind, (key, _) in walk_keys(h, starts, r, self.kinds).items():
                 members, keys, owner, offset = self.tables[r, kind]
                 at, _ = members.find(key)
                 lo = np.searchsorted(keys, key[at], "left")
@@ -167,13 +169,14 @@ class Index:
         pad = SIFTED + 2 * most
         around = np.concatenate([np.zeros(pad, U64), h, np.zeros(pad, U64)])
         keep = []
-        for lo in range(0, len(found), 1 << 14):
-            part = found[lo : lo + (1 << 14)]
+        for lo in range(0, len(found), 1 << 12):
+            part = found[lo : lo + (1 << 12)]
             n = self.sizes[part[:, 0]]
             edits = (MAX_EDITS * n).astype(np.int64)
             own, near = self.short[part[:, 0]], np.zeros((len(part), SIFTED), bool)
             place = np.clip(part[:, 1], -pad + 2 * most, len(h))
-            for shift in range(-2 * most, 2 * most + 1):
+            widest = 2 * int(edits.max())
+            for shift in range(-widest, widest + 1):
                 near |= (abs(shift) <= 2 * edits)[:, None] & (around[(place + pad + shift)[:, None] + np.arange(SIFTED)] == own)
             near &= np.arange(SIFTED) < n[:, None]
             keep.append(part[near.sum(1) >= n - edits])
@@ -241,11 +244,12 @@ def _hits(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("text is not null").select("item_id", "text")
     blocks = max(1, -(-items.count() // BLOCK))
     tables = Scratch(spark)
+    texts = spread(documents.select("doc_id", "text")).withColumn("text_hash", F.xxhash64("text"))
     out = None
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow().to_pylist()
         index = spark.sparkContext.broadcast(Index(sorted(((x["item_id"], x["text"]) for x in block), key=lambda x: (x[0] is None, x[0] or 0, x[1]))))
-        found = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(lambda batches, index=index: _search(index.value, batches), HITS)
+        found = texts.mapInArrow(lambda batches, index=index: _search(index.value, batches), HITS)
         if blocks > 1:  # one block's index at a time
             found = tables.write(found, f"block-{k}")
             index.destroy()
