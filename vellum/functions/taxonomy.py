@@ -91,6 +91,10 @@ def _cut(spelling: Column, guard: str) -> Column:
     return F.struct(core.alias("core"), before.alias("before"), F.substring(spelling, F.length(before) + F.length(core) + 1, F.length(spelling)).alias("after"), F.regexp_count(core, F.lit(f"[{guard}]+")).alias("runs"))
 
 
+#: Runs with what stands before and after them, and whether they are the first or last ones of a text.
+_BESIDE = "array<struct<core:string,left:string,right:string,first:boolean,last:boolean>>"
+
+
 def match_table(texts: DataFrame, names: DataFrame, guard: str, key: str = "key", text: str = "text") -> DataFrame:
     """key and the columns of names but spelling, once each: names whose spelling stands in a text, as match_names finds them.
 
@@ -103,7 +107,8 @@ def match_table(texts: DataFrame, names: DataFrame, guard: str, key: str = "key"
     spark = texts.sparkSession
     more = [c for c in names.columns if c != "spelling"]
     cut = names.where("spelling <> ''").distinct().withColumn("cut", _cut(F.col("spelling"), guard)).select(*more, "spelling", "cut.*")
-    sizes = sorted(r["runs"] for r in cut.where("runs > 0").select("runs").distinct().collect())
+    kinds = cut.where("runs > 0").groupBy("runs").agg(F.bool_or((F.col("before") != "") | (F.col("after") != "")).alias("beside")).collect()
+    sizes, beside = sorted(r["runs"] for r in kinds), any(r["beside"] for r in kinds)
     cut = F.broadcast(cut) if cut.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else cut
     own = spread(texts.select(key, text)).select(F.col(key).alias("_key"), F.lower(F.coalesce(text, F.lit(""))).alias("_text"))
     pieces = F.regexp_extract_all("_text", F.lit(f"(?s)[{guard}]+|[^{guard}]+"), F.lit(0))
@@ -111,16 +116,22 @@ def match_table(texts: DataFrame, names: DataFrame, guard: str, key: str = "key"
     def rows(p: Column, head: Column) -> Column:
         """Each run (odd places from `head` on), with 1, 2, ... runs after it as one core, and what stands before and after."""
         at = lambda k: F.coalesce(F.get(p, k - 1), F.lit(""))
-        core = lambda k, n: F.struct(F.array_join(F.slice(p, k, 2 * n - 1), "").alias("core"), at(k - 1).alias("left"), at(k + 2 * n - 1).alias("right"), (k <= 2).alias("first"), (k + 2 * n - 1 >= F.size(p)).alias("last"))
-        places = F.sequence(head, F.size(p), F.lit(2))
-        return F.flatten(F.array(*(F.transform(F.filter(places, lambda k: k + 2 * n - 2 <= F.size(p)), lambda k: core(k, n)) for n in sizes)))
+        core = lambda k, n: p[k - 1] if n == 1 else F.array_join(F.slice(p, k, 2 * n - 1), "")
+        full = lambda k, n: F.struct(core(k, n).alias("core"), at(k - 1).alias("left"), at(k + 2 * n - 1).alias("right"), (k <= 2).alias("first"), (k + 2 * n - 1 >= F.size(p)).alias("last"))
+        each = lambda n, of: F.transform(F.sequence(head, F.greatest(F.size(p) - (2 * n - 2), head), F.lit(2)), lambda k: of(k, n))
+        own = lambda n, of: F.when(head + 2 * n - 2 <= F.size(p), each(n, of))
+        none = F.array().cast(_BESIDE if beside else "array<string>")
+        found = F.flatten(F.array(*(F.coalesce(own(n, full if beside else core), none) for n in sizes)))
+        return found if beside else F.array_distinct(found)
 
     found = texts.sparkSession.createDataFrame([], cut.select(*more).schema).select(F.lit(None).cast(texts.schema[key].dataType).alias("_key"), *more)
     if sizes:
-        bound = F.transform(F.array(pieces), lambda p: F.when(F.size(p) == 0, F.array().cast("array<struct<core:string,left:string,right:string,first:boolean,last:boolean>>")).otherwise(F.transform(F.array(F.when(p[0].rlike(f"^[{guard}]"), 1).otherwise(2)), lambda h: F.when(h <= F.size(p), rows(p, h)))[0]))[0]
-        met = own.select("_key", F.explode(bound).alias("_at")).select("_key", "_at.*").join(cut.where("runs > 0"), "core")
+        none = F.array().cast(_BESIDE if beside else "array<string>")
+        heads = lambda p: F.transform(F.array(F.when(p[0].rlike(f"^[{guard}]"), 1).otherwise(2)), lambda h: F.when(h <= F.size(p), rows(p, h)))[0]
+        bound = F.transform(F.array(pieces), lambda p: F.when(F.size(p) == 0, none).otherwise(heads(p)))[0]
+        met = own.select("_key", F.explode(bound).alias("_at")).select("_key", *(["_at.*"] if beside else [F.col("_at").alias("core")])).join(cut.where("runs > 0"), "core")
         edge = lambda side, said, alone: (side.endswith(said) if alone == "first" else side.startswith(said)) & ((F.length(said) == 0) | (F.length(side) > F.length(said)) | F.col(alone))
-        met = met.where(edge(F.col("left"), F.col("before"), "first") & edge(F.col("right"), F.col("after"), "last"))
+        met = met if not beside else met.where(edge(F.col("left"), F.col("before"), "first") & edge(F.col("right"), F.col("after"), "last"))
         found = found.unionByName(met.select("_key", *more))
     odd = names.where(~F.col("spelling").rlike(f"[{guard}]") & (F.col("spelling") != "")).distinct().collect()
     for r in odd:
