@@ -48,6 +48,32 @@ def test_near_duplicates_are_told_and_not_ranked(spark, tmp_path):
     assert main([*told, "--keep-duplicates"]) == 0 and spark.read.json(str(out / "ranking")).count() == 4
 
 
+def test_skipped_stages_do_no_work(spark, monkeypatch):
+    from datetime import datetime
+
+    from vellum.operators import audit, fairness
+    from vellum.plans.screening import screen
+
+    texts = spark.createDataFrame([("Candidate_01", "Skills\nPython", "a.txt")], "candidate_id string, text string, original_filename string")
+    for module, name in ((audit, "event_log"), (audit, "gdpr_checks"), (fairness, "all_checks")):
+        monkeypatch.setattr(module, name, lambda *a, **k: pytest.fail("a skipped stage ran"))
+    run = screen(texts, "We want Python", Taxonomy(), datetime(2024, 1, 1), skip=("audit", "bias", "explainability"))
+    assert run.ranking.count() == 1 and run.explanations is run.checks is run.events is run.gdpr is None
+    run = screen(texts, "We want Python", Taxonomy(), datetime(2024, 1, 1), skip=("audit", "ranking"))
+    assert run.ranking is run.explanations is run.checks is None and run.parsed.count() == 1
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from vellum.session import shared_dir
+
+    bare = lambda master, named=None: N(conf=N(get=lambda k, d: named), sparkContext=N(master=master, applicationId="x", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        shared_dir(bare("spark://host:7077"))
+    assert shared_dir(bare("spark://host:7077", "hdfs:///shared")) == "hdfs:///shared"
+
+
 def test_unknown_stage():
     with pytest.raises(ValueError):
         write_screening(Screening(None, None), "nowhere", ("cooking",))

@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--role", default="mid")
     run.add_argument("--at", type=datetime.fromisoformat, help="clock of the run, ISO 8601; now if not given")
     run.add_argument("--keep-duplicates", action="store_true", help="rank near-duplicates of earlier documents too")
-    run.add_argument("--skip", nargs="*", default=[], choices=list(STAGES), help="stages whose tables are not written")
+    run.add_argument("--skip", nargs="*", default=[], choices=list(STAGES), help="stages that are left out; texts are redacted and parsed where a later stage needs them")
     commands.add_parser("status", help="which stages of a folder are done").add_argument("out")
     return out
 
@@ -47,7 +47,7 @@ def main(args: Sequence[str] | None = None) -> int:
     good = files.where("status = 'OK'").select("candidate_id", "text", F.col("file_name").alias("original_filename"))
     taxonomy = Taxonomy.from_table(spark.read.parquet(told.taxonomy)) if told.taxonomy else Taxonomy()
     job = read_job(spark, told.job) if told.job else None
-    run = screen(good, job, taxonomy, at, level=told.level, role=told.role, raw_files=files.count(), drop_duplicates=not told.keep_duplicates)
+    run = screen(good, job, taxonomy, at, level=told.level, role=told.role, raw_files=files.count(), drop_duplicates=not told.keep_duplicates, skip=tuple(told.skip))
     write_screening(run, told.out, tuple(told.skip))
     names = files.select("candidate_id", "file_name")
     twice = None if run.duplicates is None else run.duplicates.join(names, "candidate_id")

@@ -58,10 +58,12 @@ def screen(
     raw_files: int = 0,
     tagger: Callable[[], Tagger] | None = None,
     drop_duplicates: bool = False,
+    skip: tuple[str, ...] = (),
 ) -> Screening:
     """Run all stages over texts (candidate_id, text, original_filename).
 
     at: the clock of the run; nothing reads another. semantic: (candidate_id, semantic_score), 0.5 for all if None.
+    skip: stages (ranking, explainability, bias, audit) whose work is left out; later ones see no rows of theirs.
     drop_duplicates: whether near-duplicates of earlier candidates go before anything but redaction sees them; the table
     duplicates then tells which. Redacted and parsed texts are used by several stages and are checkpointed once.
     """
@@ -74,7 +76,7 @@ def screen(
     out = Screening(vault, parsed, duplicates=duplicates)
     spark, run, started = texts.sparkSession, at.strftime("RUN_%Y%m%d_%H%M%S"), at.strftime("%Y-%m-%dT%H:%M:%S")
     due = spark.range(1).select(audit.retention_due(F.lit(at.date()))).first()[0]
-    if job is None:
+    if job is None or "ranking" in skip:
         ranking = spark.createDataFrame([], "candidate_id string, rank int, final_score double, semantic_score double, keyword_score double, quality_score double, matched_skills array<string>, missing_skills array<string>, jd_skill_count int")
         explanations = explain_ranking(ranking, parsed, 0, role, started)
     else:
@@ -84,9 +86,13 @@ def screen(
         wanted = spark.range(1).select(job_skills(F.lit(job), names)).first()[0]
         flat = parsed.select("candidate_id", F.flatten(F.map_values("sections.skills")).alias("skills"), "quality_score")
         ranking = checkpointed(rank_candidates(score_candidates(vault, flat, wanted, semantic)))
-        explanations = checkpointed(explain_ranking(ranking, parsed, None, role, started))
+        told = "explainability" not in skip
+        explanations = checkpointed(explain_ranking(ranking, parsed, None, role, started)) if told else explain_ranking(ranking.limit(0), parsed, 0, role, started)
         months = parsed.select("candidate_id", F.col("sections.total_experience_months").alias("total_experience_months"))
-        out.ranking, out.explanations, out.checks = ranking, explanations, fairness.all_checks(ranking, parsed, months)
+        out.ranking, out.explanations = ranking, explanations if told else None
+        out.checks = None if "bias" in skip else fairness.all_checks(ranking, parsed, months)
+    if "audit" in skip:
+        return out
     out.gdpr = audit.gdpr_checks(vault, explanations, ranking, raw_files, run)
     ok = out.gdpr.agg(F.bool_and("satisfied")).first()[0]
     out.events = audit.event_log(vault, parsed, ranking, explanations, run, started, due, ok)
