@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,23 @@ def csv_rows(explanations: DataFrame) -> DataFrame:
     )
 
 
+#: Verdict -> its badge, and least final score -> its band. Fixed values.
+BADGES = {"Strong Match": "strong", "Good Match": "good", "Partial Match": "partial"}
+BANDS = ((0.75, "excellent"), (0.55, "good"), (0.40, "fair"))
+
+
+def candidate_cards(explanations: DataFrame, ranking: DataFrame) -> DataFrame:
+    """What a candidate's page says at its top, one row each: badge (weak for any other verdict), score as a percentage, band, neighbours.
+
+    Rows without a score have 0%, the band poor, and no neighbours without a rank.
+    """
+    verdict, score = F.col("verdict"), F.coalesce("final_score", F.lit(0.0))
+    badge = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in BADGES.items() for x in p)), verdict), F.lit("weak"))
+    band = reduce(lambda rest, b: F.when(score >= b[0], b[1]).otherwise(rest), reversed(BANDS), F.lit("poor"))
+    own = explanations.select("candidate_id", "rank", "verdict", "headline", badge.alias("badge"), F.concat(F.call_function("format_number", score * 100, F.lit("0")), F.lit("%")).alias("score"), band.alias("band"))
+    return own.join(neighbours(ranking).drop("rank"), "candidate_id", "left")
+
+
 def latest_run(runs: DataFrame, n: int = 1) -> DataFrame:
     """The last n runs by start; of equal starts the larger run_id first."""
     return runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(n)

@@ -131,6 +131,11 @@ def judge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rank", "candidate_id", "final_score", "verdict", "headline", F.col("explanation.recommendation").alias("recommendation"))
 
 
+def candidate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = Run(spark, sf_dir)
+    return views.candidate_cards(run.explanations, run.ranking)
+
+
 def redact_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = redact.redact_email(redact.start(t(spark, sf_dir, "documents").withColumn("candidate_id", F.lit("c"))))
     return df.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.coalesce(F.try_element_at("counts", F.lit("emails")), F.lit(0)).cast("long").alias("n"))
@@ -433,7 +438,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "screen_documents": flagship, "judge_documents": judge_documents, "redact_email": redact_email, "redact_dates": redact_dates, "neutral_pronouns": neutral_pronouns, "redact_page_urls": redact_page_urls,
+    "screen_documents": flagship, "judge_documents": judge_documents, "candidate_cards": candidate_cards, "redact_email": redact_email, "redact_dates": redact_dates, "neutral_pronouns": neutral_pronouns, "redact_page_urls": redact_page_urls,
     "validate_leaks": leaks, "anonymize_documents": anonymize_documents, "golden_redaction": golden_redaction, "golden_parsing": golden_parsing, "exact_dedup": exact_dedup,
     "near_dedup": near_dedup, "skills_by_document": skills_by_document, "taxonomy_match": taxonomy_match, "parse_periods": parse_periods, "jd_skills": jd_skills, "keyword_score": keyword_score, "semantic_score": semantic,
     "rank_candidates": rank_all, "explain_lists": explain_lists, "verdict_histogram": histogram, "score_distribution": distribution,

@@ -101,6 +101,9 @@ EMAILS = f"len(regexp_extract_all(text, '{EMAIL}'))"
 
 ORACLES: dict[str, str] = {
     "judge_documents": q("SELECT rank, candidate_id, printf('%.4f', final_score)::DOUBLE AS final_score, verdict, headline, recommendation FROM final"),
+    "candidate_cards": q("""SELECT candidate_id, rank, verdict, headline, CASE verdict WHEN 'Strong Match' THEN 'strong' WHEN 'Good Match' THEN 'good' WHEN 'Partial Match' THEN 'partial' ELSE 'weak' END AS badge,
+  CAST(round_even(printf('%.4f', final_score)::DOUBLE * 100, 0) AS INT) || '%' AS score, CASE WHEN final_score >= 0.75 THEN 'excellent' WHEN final_score >= 0.55 THEN 'good' WHEN final_score >= 0.40 THEN 'fair' ELSE 'poor' END AS band,
+  lag(candidate_id) OVER (ORDER BY rank) AS prev_id, lead(candidate_id) OVER (ORDER BY rank) AS next_id FROM final"""),
     "redact_email": f"SELECT doc_id, sha256(regexp_replace(text, '{EMAIL}', '[EMAIL_REDACTED]', 'g')) AS text_sha256, {EMAILS}::BIGINT AS n FROM documents",
     "redact_dates": f"""WITH a AS (SELECT doc_id, regexp_replace(text, '{FULL_DATE}', '[DATE_REDACTED]', 'g') AS t, len(regexp_extract_all(text, '{FULL_DATE}')) AS n FROM documents)
 SELECT doc_id, sha256(regexp_replace(t, '{NAMED}', '[DATE_REDACTED]', 'g')) AS text_sha256, (n + len(regexp_extract_all(t, '{NAMED}')))::BIGINT AS n FROM a""",
