@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vellum.llm import pieces
+from vellum.llm import pieces, queries
 
 pytestmark = pytest.mark.skipif(not os.path.exists(pieces.MODEL), reason="no vocabulary file")
 ANY = st.text(alphabet=st.one_of(st.characters(codec="utf-8", exclude_characters=[pieces.MARK]), st.sampled_from(" \nabe tho")), max_size=40)
@@ -115,3 +115,9 @@ def test_documents(documents, corpus, empty):
     assert {r["n_pieces"] for r in got if r["doc_id"] in (100, 101)} == {0}
     assert "ids" not in pieces.encode_documents(documents, keep_ids=False).columns
     assert pieces.encode_documents(empty).collect() == []
+
+
+def test_the_query_returns_the_pieces(spark, documents, tmp_path):
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    model, got = pieces.load(pieces.read_model()), queries.op3_pieces(spark, str(tmp_path)).collect()
+    assert sorted(model.decode(r["ids"]) for r in got) == sorted(r["text"] or "" for r in documents.collect())
