@@ -65,6 +65,15 @@ def test_quality_score_is_the_mean_ratio(spark):
     assert all(math.isclose(got[i], want[i], abs_tol=1e-9) for i in want)
 
 
+def test_every_trusted_document_counts(spark, monkeypatch):
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(40)] + [(0, 1), (None, 1)], "doc_id long, quality int")
+    assert {r[0] for r in quality.trusted_ids(labels, 3).collect()} == {r[0] for r in quality.trusted_ids(labels).collect()} == set(range(0, 40, 2))
+    docs = spark.createDataFrame([(k, f"w{k} w{k + 1}") for k in range(40)], "doc_id long, text string")
+    want = quality.weights(docs, labels).first()
+    monkeypatch.setattr(quality.trusted_ids, "__defaults__", (3,))
+    assert quality.weights(docs, labels).first() == want and want["target_mean"] > want["raw_mean"]
+
+
 def test_quality_score_ignores_case(spark):
     docs = spark.createDataFrame([(1, "good words here and there"), (2, "GOOD Words HERE and There"), (3, "bad junk")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")

@@ -21,8 +21,8 @@ BUCKETS = 1 << 16
 PRIOR = 100_000
 #: Place under which a document is rejected; 0 is the mean score of raw n-grams, 1 that of target n-grams.
 THRESHOLD = -1.0
-#: The most trusted documents whose n-grams make the target; more labelled rows are thinned by a hash of doc_id.
-TARGET_ROWS = 20_000
+#: Trusted ids (8 bytes each) up to which they are broadcast; more meet their documents in a shuffle.
+BROADCAST_IDS = 1 << 21
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
 
 
@@ -103,12 +103,10 @@ def measures(text: Column, ratio: Column) -> Column:
     return let(words(text), lambda w: let(joined(word_hashes(w), 1), lambda p: of(w, p)))
 
 
-def trusted_ids(labels: DataFrame, most: int = TARGET_ROWS) -> DataFrame:
-    """Distinct doc_id of labelled rows with quality 1, thinned to about `most` by a hash when there are more."""
-    ids = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    n = ids.count()
-    share = 1_000_000 if n <= most else 1_000_000 * most // n
-    return F.broadcast(ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select(F.col("doc_id").alias("trusted_id")))
+def trusted_ids(labels: DataFrame, broadcast: int = BROADCAST_IDS) -> DataFrame:
+    """Distinct doc_id (trusted_id) of all labelled rows with quality 1; marked for broadcast if there are at most `broadcast`."""
+    ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
+    return F.broadcast(ids) if ids.limit(broadcast + 1).count() <= broadcast else ids
 
 
 def weights(documents: DataFrame, labels: DataFrame) -> DataFrame:
