@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import patterns as R
-from vellum.functions.text import chain, find_all, replace_each, strip, sub
+from vellum.functions.text import chain, find_all, folded, has_any, let, may_match, replace_each, strip, strip_whole, sub
 from vellum.schemas import CONTACTS, SPAN, VALIDATION
 
 Step = Callable[[DataFrame], DataFrame]
@@ -37,6 +37,27 @@ def _used(name: str, when: Column) -> Column:
     return F.when(when, F.array_append("techniques", F.lit(name))).otherwise(F.col("techniques"))
 
 
+def _may(name: str) -> Column:
+    """Whether the pattern of that name may match the text: a look for what it needs, far cheaper than the pattern."""
+    return may_match(F.col("_folded"), R.NEEDS.get(name, ()), R.NEEDS_MATCH.get(name))
+
+
+def _put(df: DataFrame, may: Column, text: Callable[[Column], Column], **more: Column) -> DataFrame:
+    """text becomes text(text) where it may differ; _folded, the folded text, follows. more: columns made beside it, from the text before."""
+    df = df.withColumn("_may", may)
+    df = df.withColumns({"text": F.when(F.col("_may"), text(F.col("text"))).otherwise(F.col("text")), **more})
+    return df.withColumn("_folded", F.when(F.col("_may"), folded(F.col("text"))).otherwise(F.col("_folded"))).drop("_may")
+
+
+def _where(may: Column, text: Callable[[Column], Column]) -> Column:
+    """text(text) where it may differ from the text."""
+    return F.when(may, text(F.col("text"))).otherwise(F.col("text"))
+
+
+def _ready(df: DataFrame) -> DataFrame:
+    return df if "_folded" in df.columns else df.withColumn("_folded", folded(F.col("text")))
+
+
 def start(df: DataFrame) -> DataFrame:
     """State columns beside candidate_id and text; null text counts as empty."""
     contacts = F.struct(*(F.array().cast(_NONE).alias(c) for c in CONTACTS))
@@ -54,23 +75,24 @@ def start(df: DataFrame) -> DataFrame:
 
 def redact_name(df: DataFrame) -> DataFrame:
     """The first line, if it reads like a name, becomes [candidate_id] everywhere, as does its form in capitals."""
-    line = strip(F.split(strip(F.col("text")), "\n")[0])
+    line = strip(F.regexp_extract("text", r"(?U)\A\s*+([^\n]*+)", 1))
     words = F.size(F.split(line, r"(?U)\s+"))
     name = (line != "") & (F.length(line) < 60) & ~line.rlike(r"[@|:;/\\#]") & ~F.upper(line).isin(*R.HEADER_TITLES) & words.between(2, 5) & line.rlike(r"(?U)^[A-Za-z\s.\-]+$")
     df = df.withColumn("original_name", F.when(name, line))
     once = F.replace("text", F.col("original_name"), _tag())
-    text = F.when(F.col("original_name").isNull(), F.col("text")).otherwise(F.replace(once, F.upper("original_name"), _tag()))
-    return df.withColumn("text", text)
+    return _put(_ready(df), F.col("original_name").isNotNull(), lambda t: F.replace(once, F.upper("original_name"), _tag()))
 
 
-def _contact(name: str, pattern: str, tag: str, group: int = 0, literal: bool = True, keep: Callable[[Column], Column] | None = None) -> Step:
-    """Matches go to the vault and are counted; the text has tag in their place, by literal or by pattern."""
+def _contact(name: str, pattern: str, tag: str, *, group: int = 0, literal: bool = True, keep: Callable[[Column], Column] | None = None, may: Callable[[], Column]) -> Step:
+    """Matches go to the vault and are counted; the text has tag in their place, by literal or by pattern. may: whether there may be any."""
 
     def step(df: DataFrame) -> DataFrame:
-        hits = find_all(F.col("text"), pattern, group)
-        df = df.withColumn("found", F.filter(F.transform(hits, strip) if group == 0 else hits, keep) if keep else hits)
-        text = replace_each(F.col("text"), F.col("found"), tag) if literal else sub(F.col("text"), pattern, tag)
-        return df.withColumns({"contacts": F.col("contacts").withField(name, F.col("found")), "counts": _count(name, F.size("found")), "text": text}).drop("found")
+        df = _ready(df)
+        hits = F.when(may(), find_all(F.col("text"), pattern, group)).otherwise(F.array().cast(_NONE))
+        df = df.withColumn("hits", hits)
+        df = df.withColumn("found", F.filter(F.transform("hits", strip) if group == 0 else F.col("hits"), keep) if keep else F.col("hits"))
+        more = {"contacts": F.col("contacts").withField(name, F.col("found")), "counts": _count(name, F.size("found"))}
+        return _put(df, F.size("hits") > 0, lambda t: replace_each(t, F.col("found"), tag) if literal else sub(t, pattern, tag), **more).drop("found", "hits")
 
     return step
 
@@ -80,14 +102,22 @@ def is_phone(p: Column) -> Column:
     return F.length(sub(p, R.P + r"\D", "")).between(10, 15) & ~p.rlike(R.DECIMAL)
 
 
-redact_email = _contact("emails", R.EMAIL, "[EMAIL_REDACTED]")
-redact_phone = _contact("phones", R.PHONE, "[PHONE_REDACTED]", keep=is_phone)
-redact_linkedin = _contact("linkedin", R.LINKEDIN, "[LINKEDIN_REDACTED]")
-redact_handles = _contact("linkedin_handles", R.LINKEDIN_HANDLE, "[LINKEDIN_REDACTED]", group=1, literal=False)
-redact_github = _contact("github", R.GITHUB, "[URL_REDACTED]", group=1, literal=False)
-redact_urls = _contact("urls", R.URL, "[URL_REDACTED]")
-redact_bare_urls = _contact("urls_no_proto", R.URL_NO_PROTO, "[URL_REDACTED]", group=1, literal=False)
-redact_addresses = _contact("addresses", R.ADDRESS, "[ADDRESS_REDACTED]", group=1, keep=lambda a: a != "")
+def has_at() -> Column:
+    return F.contains("text", F.lit("@"))
+
+
+def has_digits() -> Column:
+    return F.col("text").rlike(r"(?U)\d{3}")
+
+
+redact_email = _contact("emails", R.EMAIL, "[EMAIL_REDACTED]", may=has_at)
+redact_phone = _contact("phones", R.PHONE, "[PHONE_REDACTED]", keep=is_phone, may=has_digits)
+redact_linkedin = _contact("linkedin", R.LINKEDIN, "[LINKEDIN_REDACTED]", may=lambda: _may("LINKEDIN"))
+redact_handles = _contact("linkedin_handles", R.LINKEDIN_HANDLE, "[LINKEDIN_REDACTED]", group=1, literal=False, may=lambda: _may("LINKEDIN_HANDLE"))
+redact_github = _contact("github", R.GITHUB, "[URL_REDACTED]", group=1, literal=False, may=lambda: _may("GITHUB"))
+redact_urls = _contact("urls", R.URL, "[URL_REDACTED]", may=lambda: _may("URL"))
+redact_bare_urls = _contact("urls_no_proto", R.URL_NO_PROTO, "[URL_REDACTED]", group=1, literal=False, may=lambda: _may("URL_NO_PROTO"))
+redact_addresses = _contact("addresses", R.ADDRESS, "[ADDRESS_REDACTED]", group=1, keep=lambda a: a != "", may=lambda: F.col("text").rlike(r"(?U)\d\s"))
 
 
 def mark_contacts(df: DataFrame) -> DataFrame:
@@ -95,21 +125,26 @@ def mark_contacts(df: DataFrame) -> DataFrame:
 
 
 def redact_linkedin_paths(df: DataFrame) -> DataFrame:
-    return df.withColumn("text", sub(F.col("text"), R.LINKEDIN_PATH, "[LINKEDIN_REDACTED]"))
+    return _put(_ready(df), _may("LINKEDIN_PATH"), lambda t: sub(t, R.LINKEDIN_PATH, "[LINKEDIN_REDACTED]"))
 
 
 def remove_birth(df: DataFrame) -> DataFrame:
     """Dates of birth, then ages; ages have no word boundary (page 12 loses its end too)."""
-    return df.withColumn("text", sub(sub(F.col("text"), R.DOB, "[DOB_REDACTED]"), R.AGE, ""))
+    df = _put(_ready(df), _may("DOB"), lambda t: sub(t, R.DOB, "[DOB_REDACTED]"))
+    return _put(df, _may("AGE"), lambda t: sub(t, R.AGE, ""))
 
 
 def replace_proxies(df: DataFrame) -> DataFrame:
     """Names of groups that stand for identity become neutral ones, in order."""
-    return df.withColumn("text", chain(F.col("text"), R.PROXIES, R.I))
+    greek = next(k for k, (pattern, _) in enumerate(R.PROXIES) if R.GREEK in pattern)
+    df = _ready(df)
+    for need, pairs in (("PROXIES", R.PROXIES[:greek]), ("GREEK", R.PROXIES[greek : greek + 1]), ("LATE_PROXIES", R.PROXIES[greek + 1 :])):
+        df = _put(df, _may(need), lambda t, pairs=pairs: chain(t, pairs, R.I))
+    return df
 
 
 def redact_passing_years(df: DataFrame) -> DataFrame:
-    return df.withColumn("text", sub(F.col("text"), R.PASSING_YEAR, "[YEAR_REDACTED]"))
+    return _put(_ready(df), _may("PASSING_YEAR"), lambda t: sub(t, R.PASSING_YEAR, "[YEAR_REDACTED]"))
 
 
 #: (digits of the number of years, phrase): the whole run of digits decides.
@@ -119,40 +154,49 @@ YEAR_BANDS = (("[0-2]", "Early career experience"), ("[3-7]", "Professional expe
 def bucket_experience(df: DataFrame) -> DataFrame:
     """`N years experience` becomes a phrase for its band, so that it gives no age away."""
     rest = R.EXPERIENCE_YEARS.removeprefix(r"(\d+)")
-    n = F.regexp_count("text", F.lit(R.I + R.EXPERIENCE_YEARS))
-    text = reduce(lambda t, band: sub(t, rf"{R.I}(?<!\d)0*{band[0]}(?!\d){rest}", band[1]), YEAR_BANDS, F.col("text"))
-    return df.withColumn("found", n).withColumns({"text": text, "counts": _count("experience_duration", F.col("found")), "techniques": _used("experience_duration", F.col("found") > 0)}).drop("found")
+    n = F.when(_may("EXPERIENCE_YEARS"), F.regexp_count("text", F.lit(R.I + R.EXPERIENCE_YEARS))).otherwise(0)
+    some = F.col("found") > 0
+    text = lambda t: reduce(lambda t, band: sub(t, rf"{R.I}(?<!\d)0*{band[0]}(?!\d){rest}", band[1]), YEAR_BANDS, t)
+    return _put(_ready(df).withColumn("found", n), some, text, counts=_count("experience_duration", F.col("found")), techniques=_used("experience_duration", some)).drop("found")
 
 
 def redact_publications(df: DataFrame) -> DataFrame:
     """Publications go to the vault; in the text they lose their co-authors."""
-    df = df.withColumn("found", find_all(F.col("text"), R.PUBLICATION))
+    df = _ready(df).withColumn("found", F.when(_may("PUBLICATION"), find_all(F.col("text"), R.PUBLICATION)).otherwise(F.array().cast(_NONE)))
     n = F.size("found")
-    return df.withColumns({"publications": F.concat("publications", "found"), "counts": _count("publications", n), "techniques": _used("publication_redaction", n > 0), "text": sub(F.col("text"), R.PUBLICATION, "$1")}).drop("found")
+    more = {"publications": F.concat("publications", "found"), "counts": _count("publications", n), "techniques": _used("publication_redaction", n > 0)}
+    return _put(df, n > 0, lambda t: sub(t, R.PUBLICATION, "$1"), **more).drop("found")
+
+
+def has_date(text: Column) -> Column:
+    return text.rlike(r"(?U)\d[/\-.]\d")
 
 
 def redact_dates(df: DataFrame) -> DataFrame:
     """Dates with a day; month and year stay."""
-    first = sub(F.col("text"), R.FULL_DATE, "[DATE_REDACTED]")
-    df = df.withColumns({"found": F.regexp_count("text", F.lit(R.FULL_DATE)), "text": first})
-    df = df.withColumn("found", F.col("found") + F.regexp_count("text", F.lit(R.NAMED_DATE)))
-    return df.withColumns({"text": sub(F.col("text"), R.NAMED_DATE, "[DATE_REDACTED]"), "counts": _count("full_dates", F.col("found")), "techniques": _used("full_date_redaction", F.col("found") > 0)}).drop("found")
+    full, named = F.col("full"), F.col("named")
+    df = _ready(df).withColumn("full", F.when(has_date(F.col("text")), F.regexp_count("text", F.lit(R.FULL_DATE))).otherwise(0))
+    df = _put(df, full > 0, lambda t: sub(t, R.FULL_DATE, "[DATE_REDACTED]"))
+    df = df.withColumn("named", F.when(_may("NAMED_DATE"), F.regexp_count("text", F.lit(R.NAMED_DATE))).otherwise(0))
+    more = {"counts": _count("full_dates", full + named), "techniques": _used("full_date_redaction", full + named > 0)}
+    return _put(df, named > 0, lambda t: sub(t, R.NAMED_DATE, "[DATE_REDACTED]"), **more).drop("full", "named")
 
 
 def redact_schools(df: DataFrame) -> DataFrame:
     tag = "[Educational Institution]"
-    some = F.col("text").rlike(R.SCHOOL_WORD)
-    return df.withColumn("text", F.when(some, sub(sub(F.col("text"), R.SCHOOL, tag), R.GENERIC_SCHOOL, tag)).otherwise(F.col("text")))
+    return _put(_ready(df), _may("SCHOOL_WORD"), lambda t: sub(sub(t, R.SCHOOL, tag), R.GENERIC_SCHOOL, tag))
 
 
 def redact_degree_places(df: DataFrame) -> DataFrame:
     """What follows `degree from`, `at` or `in`."""
-    df = df.withColumn("found", F.regexp_count("text", F.lit(R.DEGREE_CONTEXT)))
-    return df.withColumns({"text": sub(F.col("text"), R.DEGREE_CONTEXT, "$1[Educational Institution]"), "counts": _count("degree_institutions", F.col("found")), "techniques": _used("degree_context", F.col("found") > 0)}).drop("found")
+    some = F.col("found") > 0
+    df = _ready(df).withColumn("found", F.when(_may("DEGREE_CONTEXT"), F.regexp_count("text", F.lit(R.DEGREE_CONTEXT))).otherwise(0))
+    more = {"counts": _count("degree_institutions", F.col("found")), "techniques": _used("degree_context", some)}
+    return _put(df, some, lambda t: sub(t, R.DEGREE_CONTEXT, "$1[Educational Institution]"), **more).drop("found")
 
 
 def redact_education_places(df: DataFrame) -> DataFrame:
-    return df.withColumn("text", sub(F.col("text"), R.EDUCATION_LINE, "$1, [LOCATION_REDACTED]$3"))
+    return _put(_ready(df), _may("EDUCATION_LINE"), lambda t: sub(t, R.EDUCATION_LINE, "$1, [LOCATION_REDACTED]$3"))
 
 
 def resolve_spans(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -214,7 +258,7 @@ def redact_entities(tagger: Callable[[], Tagger] | None, level: str) -> Step:
 
     def step(df: DataFrame) -> DataFrame:
         df = df.withColumn("ner", udf("text", "candidate_id"))
-        return df.withColumns({"text": F.col("ner.text"), "original_name": F.coalesce("original_name", F.get("ner.persons", F.lit(0))), "counts": _count("ner_persons", F.size("ner.persons")), "techniques": F.array_append("techniques", F.lit("spacy_ner"))}).drop("ner")
+        return df.withColumns({"text": F.col("ner.text"), "original_name": F.coalesce("original_name", F.get("ner.persons", F.lit(0))), "counts": _count("ner_persons", F.size("ner.persons")), "techniques": F.array_append("techniques", F.lit("spacy_ner"))}).drop("ner", "_folded")
 
     return step
 
@@ -227,53 +271,58 @@ def redact_heuristic_names(df: DataFrame) -> DataFrame:
     order = lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
     names = F.array_sort(F.filter(F.array_distinct(find_all(F.col("text"), R.HEURISTIC_NAME, 1)), fits), order)
     df = df.withColumn("found", names)
-    return df.withColumns({"text": replace_each(F.col("text"), F.col("found"), _tag()), "counts": _count("heuristic_names", F.size("found")), "techniques": _used("heuristic_name_detection", F.size("found") > 0)}).drop("found")
+    return df.withColumns({"text": replace_each(F.col("text"), F.col("found"), _tag()), "counts": _count("heuristic_names", F.size("found")), "techniques": _used("heuristic_name_detection", F.size("found") > 0)}).drop("found", "_folded")
 
 
 def neutral_pronouns(text: Column) -> Column:
-    return F.regexp_replace(chain(text, R.PRONOUNS, R.P), "  +", " ")
+    def step(text: Column, words: tuple[str, ...], pattern: str, to: str) -> Column:
+        return let(text, lambda t: F.when(has_any(t, words), sub(t, pattern, to)).otherwise(t))
+
+    return reduce(lambda t, x: step(t, *x), (*((w, R.P + p, to) for w, p, to in R.PRONOUN_WORDS), (("  ",), "  +", " ")), text)
 
 
 def neutralize_pronouns(df: DataFrame) -> DataFrame:
-    return df.withColumn("text", neutral_pronouns(F.col("text")))
+    return df.withColumn("text", neutral_pronouns(F.col("text"))).drop("_folded")
 
 
 def clean_up(df: DataFrame) -> DataFrame:
     """Left-over fragments: St. names, doubled tags, cities at the start of the first five lines, education years, places
     on company lines, and a name on the last line of a text whose first line was one."""
-    tag = r"\[Educational Institution\]"
-    text = sub(F.col("text"), R.ST_PREFIX, "[Educational Institution] ")
-    text = sub(text, rf"{R.P}{tag}\s*'?s?\s*{tag}", "[Educational Institution]")
-    text = sub(text, rf"{R.P}{tag}\s*'s\s*", "[Educational Institution] ")
-    df = df.withColumn("lines", F.split(text, "\n", -1))
+    tag, said, text = r"\[Educational Institution\]", "[Educational Institution]", F.col("text")
+    df = df.withColumn("text", _where(F.contains(text, F.lit("St")), lambda t: sub(t, R.ST_PREFIX, said + " ")))
+    doubled = lambda t: sub(sub(t, rf"{R.P}{tag}\s*'?s?\s*{tag}", said), rf"{R.P}{tag}\s*'s\s*", said + " ")
+    df = df.withColumn("text", _where(F.contains(text, F.lit(said)), doubled))
     city = lambda line: F.lower(F.regexp_extract(line, R.ADDRESS_CITY, 1))
     fits = lambda line: line.rlike(R.ADDRESS_CITY) & ~city(line).isin(*R.PLACE_WORDS, *R.TECH_WORDS)
-    lines = F.transform("lines", lambda line, k: F.when((k < 5) & fits(line), sub(line, R.ADDRESS_CITY, "[LOCATION_REDACTED]")).otherwise(line))
+    placed = lambda lines: F.transform(lines, lambda line, k: F.when((k < 5) & fits(line), sub(line, R.ADDRESS_CITY, "[LOCATION_REDACTED]")).otherwise(line))
+    df = df.withColumn("text", _where(F.contains(text, F.lit(",")), lambda t: F.array_join(placed(F.split(t, "\n", 6)), "\n")))
     # The year's range, if any, is told by what stands between two marks.
-    marked = sub(F.array_join(lines, "\n"), R.EDUCATION_YEAR, "$1\x01$3\x02")
-    text = sub(sub(marked, "\x01[0-9]+\x02", ", [YEAR_REDACTED]"), "\x01\x02", "")
-    df = df.withColumn("text", sub(text, R.COMPANY_LINE, "$1, [LOCATION_REDACTED]")).drop("lines")
-    last = strip(F.element_at(F.split(strip(F.col("text")), "\n", -1), -1))
-    fits_ = F.col("original_name").isNotNull() & (last != "") & (F.length(last) < 50) & ~last.rlike(r"[@|:;/\\#\[\]]") & last.rlike(r"(?U)^[A-Za-z\s.]+$") & (F.size(F.split(last, r"(?U)\s+")) <= 5)
+    marked = lambda t: sub(sub(sub(t, R.EDUCATION_YEAR, "$1\x01$3\x02"), "\x01[0-9]+\x02", ", [YEAR_REDACTED]"), "\x01\x02", "")
+    df = df.withColumn("text", _where(text.rlike(r"(?U)(?:19|20)\d{2}") | F.contains(text, F.lit("\x01")), marked))
+    df = df.withColumn("text", _where(has_any(text, ("Networks", "Pvt", "Ltd", "Inc", "Corp")), lambda t: sub(t, R.COMPANY_LINE, "$1, [LOCATION_REDACTED]")))
+    ending = F.when(F.col("original_name").isNotNull(), strip(F.element_at(F.split(strip(text), "\n", -1), -1)))
+    df, last = df.withColumn("last", ending), F.col("last")
+    fits_ = last.isNotNull() & (last != "") & (F.length(last) < 50) & ~last.rlike(r"[@|:;/\\#\[\]]") & last.rlike(r"(?U)^[A-Za-z\s.]+$") & (F.size(F.split(last, r"(?U)\s+")) <= 5)
     df = df.withColumn("last", F.when(fits_, last))
     # The last occurrence: the text's end, reversed.
     back = F.length("text") - F.instr(F.reverse("text"), F.reverse("last")) - F.length("last") + 1
     swapped = F.concat(F.substring("text", F.lit(1), back), _tag(), F.substring("text", back + F.length("last") + 1, F.length("text")))
-    return df.withColumn("text", F.when(F.col("last").isNull(), F.col("text")).otherwise(swapped)).drop("last")
+    return df.withColumn("text", F.when(F.col("last").isNull(), F.col("text")).otherwise(swapped)).drop("last", "_folded")
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    return df.withColumn("text", strip(F.regexp_replace(F.regexp_replace("text", r"\n{3,}", "\n\n"), "  +", " ")))
+    df = df.withColumn("text", _where(F.contains("text", F.lit("\n\n\n")), lambda t: sub(t, r"\n{3,}", "\n\n")))
+    return df.withColumn("text", strip_whole(_where(F.contains("text", F.lit("  ")), lambda t: sub(t, "  +", " ")))).drop("_folded")
 
 
 def leaks_of(text: Column) -> Column:
     """array of (type, matches): what still looks personal."""
-    phones = F.filter(find_all(text, R.PHONE), lambda p: F.length(sub(p, R.P + r"\D", "")).between(10, 15))
-    urls = F.filter(find_all(text, R.URL), lambda u: ~u.contains("REDACTED"))
+    some = lambda may, pattern: F.when(may, find_all(text, pattern)).otherwise(F.array().cast(_NONE))
+    phones = F.filter(some(text.rlike(r"(?U)\d{3}"), R.PHONE), lambda p: F.length(sub(p, R.P + r"\D", "")).between(10, 15))
+    urls = F.filter(some(may_match(folded(text), R.NEEDS["URL"]), R.URL), lambda u: ~u.contains("REDACTED"))
     names = F.filter(find_all(text, R.NAME_CHECK, 1), lambda n: ~n.isin(*R.SAFE_NAMES))
-    leak = lambda kind, found, when, shown: F.when(when, F.struct(F.lit(kind).alias("type"), shown.alias("matches")))
-    each = [(kind, found, F.size(found) > 0, found) for kind, found in (("email", find_all(text, R.EMAIL)), ("phone", phones), ("url", urls), ("full_date", find_all(text, R.FULL_DATE)))]
-    each.append(("potential_names", names, F.size(names) > 3, F.slice(names, 1, 5)))
+    leak = lambda kind, found, least=0, most=None: let(found, lambda f: F.when(F.size(f) > least, F.struct(F.lit(kind).alias("type"), (F.slice(f, 1, most) if most else f).alias("matches"))))
+    each = (("email", some(F.contains(text, F.lit("@")), R.EMAIL)), ("phone", phones), ("url", urls), ("full_date", some(has_date(text), R.FULL_DATE)), ("potential_names", names, 3, 5))
     return F.array_compact(F.array(*(leak(*x) for x in each)))
 
 

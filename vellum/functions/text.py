@@ -2,19 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What is no ASCII letter but equals one when (?iu) ignores case.
+ODD_LETTERS = ("\u017f", "\u212a", "\u0131", "\u0130")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def has_any(c: Column, parts: Iterable[str]) -> Column:
+    """Whether one of the strings stands in c; null for null."""
+    return F.exists(F.array(*map(F.lit, parts)), lambda part: F.contains(c, part))
+
+
+def folded(c: Column) -> Column:
+    """c in lower case, in which a pattern (?iu) finds what it needs as it stands; null where that isn't sure, because a letter
+    that isn't ASCII may equal one."""
+    return F.when(~has_any(c, ODD_LETTERS), F.lower(c))
+
+
+def may_match(low: Column, parts: Iterable[str] = (), pattern: str | None = None) -> Column:
+    """Whether a folded text has one of the parts or matches the pattern (lower case, both), true where folding isn't sure."""
+    tests = ([has_any(low, parts)] if parts else []) + ([low.rlike(pattern)] if pattern else [])
+    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(True))
+
+
 def strip(c: Column) -> Column:
     """Without white space (Unicode) at either end; SQL trim knows spaces only."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def strip_whole(c: Column) -> Column:
+    """strip for long texts, which seldom need it."""
+    return let(c, lambda t: F.when(F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1))).rlike(r"(?U)\s"), strip(t)).otherwise(t))
+
+
 def is_blank(c: Column) -> Column:
-    return F.coalesce(strip(c) == "", F.lit(True))
+    return F.coalesce(~c.rlike(r"(?U)\S"), F.lit(True))
 
 
 def find_all(c: Column, pattern: str, group: int = 0) -> Column:
