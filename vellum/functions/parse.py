@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import patterns as R
 from vellum.functions.taxonomy import CV_GUARD, Taxonomy, languages, match_table, skills_map
-from vellum.functions.text import compact, find_all, is_blank, strip, sub
+from vellum.functions.text import compact, find_all, is_blank, strip, strip_whole, sub
 from vellum.schemas import EDUCATION, ROLE
 from vellum.session import checkpointed
 
@@ -33,9 +33,9 @@ def sections(text: Column) -> Column:
     """
 
     def bare(line: Column) -> Column:
-        own = strip(line)
-        shaped = (F.length(own) >= 2) & (F.length(own) <= 60) & ~own.rlike(r"[.,]$")
-        return F.when(shaped, sub(strip(sub(F.lower(own), ":+$", "")), r"(?U)^[-=_*#\s]+|[-=_*#\s]+$", ""))
+        shaped = lambda own: (F.length(own) >= 2) & (F.length(own) <= 60) & ~own.rlike(r"[.,]$")
+        said = lambda own: sub(strip(sub(F.lower(own), ":+$", "")), r"(?U)^[-=_*#\s]+|[-=_*#\s]+$", "")
+        return _let(strip_whole(line), lambda own: F.when(shaped(own), said(own)))
 
     def cut(lines: Column, heads: Column) -> Column:
         at = [F.struct(F.array_position(F.transform(heads, lambda h: F.coalesce(_starts(h, words), F.lit(False))), F.lit(True)).cast("int").alias("at"), F.lit(k).alias("k"), F.lit(name).alias("name")) for k, (name, words) in enumerate(R.SECTION_KEYWORDS.items())]

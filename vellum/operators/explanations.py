@@ -17,14 +17,17 @@ def explain_ranking(ranking: DataFrame, parsed: DataFrame, n_candidates: int | N
     None.
     """
     n = ranking.count() if n_candidates is None else n_candidates
-    known = parsed.select("candidate_id", F.col("sections").alias("s"), F.lit(True).alias("known"))
+    # Only what is told of a record meets the ranking: the record itself holds whole texts.
+    education = F.coalesce("sections.education", F.array().cast(f"array<{EDUCATION}>"))
+    known = parsed.select("candidate_id", F.col("sections.total_experience_months").alias("months"), F.size("sections.experience").alias("roles"), E.highest_education(education).alias("best"), F.lit(True).alias("known"))
     c = F.col
+    unknown = F.struct(F.lit("").alias("level"), F.lit("").alias("field"))
     df = ranking.join(known, "candidate_id", "left").withColumns(
         {
             "known": F.coalesce("known", F.lit(False)),
-            "months": F.coalesce("s.total_experience_months", F.lit(0)),
-            "roles": F.coalesce(F.size("s.experience"), F.lit(0)),
-            "best": E.highest_education(F.coalesce("s.education", F.array().cast(f"array<{EDUCATION}>"))),
+            "months": F.coalesce("months", F.lit(0)),
+            "roles": F.coalesce("roles", F.lit(0)),
+            "best": F.coalesce("best", unknown),
             "verdict": E.verdict(c("final_score"), role),
             "matched": F.size("matched_skills"),
         }
