@@ -123,6 +123,17 @@ def test_language_model_of_nothing(spark, empty):
     assert (row["train_tokens"], row["n_tokens"], row["n_known"]) == (0, 1, 0) and math.isclose(row["base_score"], 0.0, abs_tol=1e-9)
 
 
+def test_words_outside_the_head_are_contexts_like_all_others(spark):
+    """What follows a word outside the head is predicted from its class: a small head scores nearly as a whole one does."""
+    r = random.Random(6)
+    groups = [[f"{c}{k}" for k in range(120)] for c in "abcd"]
+    rows = [(k, " ".join(r.choice(groups[(k + j) % 4][: 8 if r.random() < 0.5 else 120]) for j in range(80))) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    score = lambda **how: classlm.score_documents(docs, classes=4, clustered=33, **how).where("held_out").selectExpr("sum(score)", "sum(n_known)").first()
+    whole, small = score(), score(most=40)
+    assert abs(small[0] - whole[0]) < 0.01 * abs(whole[0]) and small[1] == whole[1]
+
+
 def test_one_long_text_takes_linear_time():
     words = ["you", "idiot", "plain", "words", "scum", "here", "and", "there"]
     r = random.Random(3)

@@ -9,8 +9,9 @@ Words are known by 64-bit hashes. One pass counts every word of the training doc
    the class of the greatest likelihood under the class bigrams of the pass.
 
 The HEAD most frequent words (a bounded table of hash, count and class) go to all tasks. Words outside meet their class and
-count in a hash join by word, in training and in scoring, so that they are exact for a vocabulary of any size; the word
-after one of them is predicted without context, by the class's share of all tokens. P(text) is the product of
+count in a hash join by word, in training and in scoring, whether they are predicted or are what a word is predicted from: the head
+saves work and changes no context (the words outside are one symbol of the driver's matrix). Only the word after one that
+training has never seen is predicted without context, by the class's share of all tokens. P(text) is the product of
 P(class | class before) and P(word | class); a word that training has never seen has the probability that one token more
 than all tokens and words would have.
 """
@@ -206,7 +207,7 @@ def _classed(batches: Iterable[pa.RecordBatch], head: Head, known: np.ndarray) -
 
 def _contexts(head, known, size: int, seeds: int):
     """Of each word that is no seed, the classes on both sides: x is before * (size + 1) + after. And from squares on,
-    without a hash, the bigrams of classes. Class `size` is that of words without one yet."""
+    without a hash, the bigrams of classes. Class `size` is that of words without one yet, and of those outside the head."""
     side = size + 1
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,18 +224,47 @@ def _contexts(head, known, size: int, seeds: int):
     return of
 
 
-def _tails(head, known, size: int):
-    """Bigrams of classes as _contexts has them, without those into words outside the head; of these, the class before."""
-    side = size + 1
+PAIRS = "lh long, rh long, lx int, rx int, l_free boolean, r_free boolean"
+
+
+def _pairs(head, known, size: int, seeds: int):
+    """Words beside each other of which one is outside the head: hashes, classes (`size` outside), whether they are no seeds."""
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(head.value.counts)
+        free = np.append(head.value.symbols >= seeds, True)
+        for tokens, place, cls, before in _classed(batches, head.value, known.value):
+            at = np.flatnonzero((cls == size) | (before == size))
+            # Before a text's first token stands the end, as before the array's first.
+            cols = [signed(tokens[at - 1]), signed(tokens[at]), before[at].astype(np.int32), cls[at].astype(np.int32), free[place[at - 1]], free[place[at]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in PAIRS.split(", ")])
+
+    return of
+
+
+def _resolved(pairs: DataFrame, classes: DataFrame, size: int, how: str = "inner") -> DataFrame:
+    """pairs with lc and rc, the classes of both words, and count, that of a right word outside the head, from classes (h, cls, c).
 
+    Each side is joined only where it is outside the head: such words are rare, so that no key is frequent."""
+    left, right = classes.select(F.col("h").alias("lh"), F.col("cls").alias("lc")), classes.select(F.col("h").alias("rh"), F.col("cls").alias("rc"), F.col("c").alias("count"))
+    none = F.lit(None).cast("long")
+    l_out, r_out = F.col("lx") == size, F.col("rx") == size
+    parts = [
+        pairs.where(l_out & ~r_out).join(left, "lh", how).withColumns({"rc": F.col("rx"), "count": none}),
+        pairs.where(~l_out & r_out).join(right, "rh", how).withColumn("lc", F.col("lx")),
+        pairs.where(l_out & r_out).join(left, "lh", how).join(right, "rh", how),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _bigrams(head, known, size: int):
+    """Bigrams of classes as _contexts has them, of words in the head alone."""
+    side = size + 1
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
-            for tokens, place, cls, before in _classed(batches, head.value, known.value):
-                out = place == n
-                yield tokens[out], before[out]
-                yield np.zeros(int((~out).sum()), U64), side * side + (before * side + cls)[~out]
+            for _, _, cls, before in _classed(batches, head.value, known.value):
+                x = side * side + (before * side + cls)[(before < size) & (cls < size)]
+                yield np.zeros(len(x), U64), x
 
         yield from _summed(parts())
 
@@ -252,8 +282,11 @@ def log_transitions(g: np.ndarray) -> np.ndarray:
     return np.log(BIGRAM_WEIGHT * two + (1 - BIGRAM_WEIGHT) * one)
 
 
-def _assign(g: np.ndarray):
-    """The best class of each word (h, found: x and c) under class bigrams g: (h, cls, c)."""
+def _assign(g: np.ndarray, told: bool):
+    """The best class of each word (h, found: x and c) under class bigrams g: (h, cls, c).
+
+    x from squares on: the class of one neighbour outside the head, before (then after, a side later). told: whether these
+    are there; if not, no class is known of such neighbours."""
     size = g.shape[1]
     log_p, log_n = log_transitions(g), np.log(np.maximum(g.sum(0), 1))
 
@@ -265,16 +298,23 @@ def _assign(g: np.ndarray):
                 flat = found.flatten()
                 x, c = flat.field("x").to_numpy(), flat.field("c").to_numpy().astype(float)
                 row = np.repeat(np.arange(n), pc.list_value_length(found).to_numpy())
-                table = lambda k, row=row, c=c, n=n: np.bincount(row * (size + 1) + k, c, n * (size + 1)).reshape(n, size + 1)
-                before, after = table(x // (size + 1)), table(x % (size + 1))[:, :size]
-                gain = before @ log_p + after @ log_p[:size].T - before.sum(1, keepdims=True) * log_n
+                table = lambda k, row, c, n=n: np.bincount(row * (size + 1) + k, c, n * (size + 1)).reshape(n, size + 1)
+                one = np.flatnonzero(x < (size + 1) ** 2)
+                before, after = table(x[one] // (size + 1), row[one], c[one]), table(x[one] % (size + 1), row[one], c[one])
+                times = before.sum(1, keepdims=True)
+                if told:
+                    before[:, size] = 0
+                    own, cls = np.divmod(np.delete(x, one) - (size + 1) ** 2, size + 1)
+                    for k, side in enumerate((before, after)):
+                        side += table(cls[own == k], np.delete(row, one)[own == k], np.delete(c, one)[own == k])
+                gain = before @ log_p + after[:, :size] @ log_p[:size].T - times * log_n
                 cls = 1 + np.argmax(gain[:, 1:], 1)  # class 0 is the end's alone
-                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(cls, pa.int32()), pa.array(before.sum(1).astype(np.int64))], names=["h", "cls", "c"])
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(cls, pa.int32()), pa.array(times[:, 0].astype(np.int64))], names=["h", "cls", "c"])
 
     return of
 
 
-SCORES = "rid long, doc_id long, n_tokens long, n_known long, base_log double, score double, tail array<struct<h:long,before:int,n:long>>"
+SCORES = "rid long, doc_id long, n_tokens long, n_known long, base_log double, score double, tail array<struct<lh:long,rh:long,lx:int,rx:int,n:long>>"
 
 
 def _score(head, known, cells) -> object:
@@ -286,7 +326,8 @@ def _score(head, known, cells) -> object:
         rid = TaskContext.get().partitionId() << 40
         names = [f.split()[0] for f in SCORES.split(", ")]
         model, size = head.value, cells.shape[1]
-        table = np.append(cells, np.zeros((len(cells), 1)), 1)  # words outside the head are scored by join
+        table = np.append(cells, np.zeros((len(cells), 1)), 1)  # words outside the head, and those after them, are scored by join
+        table[size] = 0
         count = np.append(model.counts, 0)
         log_count, log_more = np.log10(np.maximum(count, 1)), np.log10(count + 1.0)
         for batch in batches:
@@ -299,15 +340,19 @@ def _score(head, known, cells) -> object:
                 before[at[:-1]] = 0
                 row = np.repeat(np.arange(n), np.diff(at))
                 by = lambda x, row=row, n=n: np.bincount(row, x, n)
-                # Words outside the head, once for each text and class before, with their number there.
-                out = np.flatnonzero(c == size)
-                order = out[np.lexsort((before[out], tokens[out], row[out]))]
+                # Words outside the head and those after them, once for each text and word before, with their number there.
+                out = np.flatnonzero((c == size) | (before == size))
+                lh, rh = np.where(before[out] == size, tokens[out - 1], U64(0)), np.where(c[out] == size, tokens[out], U64(0))
+                keys = [row[out], lh, rh, before[out], c[out]]
+                order = np.lexsort(keys[::-1])
+                keys = [k[order] for k in keys]
                 new = np.ones(len(order), bool)
-                new[1:] = (tokens[order][1:] != tokens[order][:-1]) | (row[order][1:] != row[order][:-1]) | (before[order][1:] != before[order][:-1])
+                new[1:] = np.any([k[1:] != k[:-1] for k in keys], 0)
                 at_new = np.flatnonzero(new)
                 times = np.diff(np.append(at_new, len(order)))
-                offsets = np.searchsorted(row[order][at_new], np.arange(n + 1))
-                tail = pa.StructArray.from_arrays([pa.array(signed(tokens[order][at_new])), pa.array(before[order][at_new], pa.int32()), pa.array(times)], names=["h", "before", "n"])
+                offsets = np.searchsorted(keys[0][at_new], np.arange(n + 1))
+                lh, rh, lx, rx = (k[at_new] for k in keys[1:])
+                tail = pa.StructArray.from_arrays([pa.array(signed(lh)), pa.array(signed(rh)), pa.array(lx, pa.int32()), pa.array(rx, pa.int32()), pa.array(times)], names=["lh", "rh", "lx", "rx", "n"])
                 sums = [by(x) for x in ((c != size).astype(float), log_more[place], table[before, c] + log_count[place])]
                 cols = [pa.array(np.arange(rid, rid + n)), batch.column("doc_id").slice(lo, n).cast(pa.int64()), pa.array(np.diff(at)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)]
                 rid += n
@@ -368,41 +413,53 @@ def score_documents(documents: DataFrame, most: int = HEAD, clustered: int = SEE
         known = np.full(len(h) + 1, size, np.int16)
         is_seed = np.flatnonzero(head.symbols < seeds)
         known[is_seed] = cls[head.symbols[is_seed]]
+        side = size + 1
         for k in range(rounds):
             ties = training.mapInArrow(_contexts(shared, spark.sparkContext.broadcast(known), size, seeds), "h long, x int, c long")
             ties = scratch.write(ties, f"ties-{k}")
             own_bigrams = F.col("x") >= (size + 1) ** 2
-            g = _matrix(ties.where(own_bigrams).groupBy("x").agg(F.sum("c").alias("c")).toArrow(), size)
-            # Dealt by word once: both sums need no further shuffle. A word has at most (size + 1) ** 2 contexts.
-            found = ties.where(~own_bigrams).repartition("h").groupBy("h", "x").agg(F.sum("c").alias("c"))
+            own_sums, found = ties.where(own_bigrams).select("x", "c"), ties.where(~own_bigrams)
+            if k:  # Words outside the head have a class since the first round.
+                pairs = training.mapInArrow(_pairs(shared, spark.sparkContext.broadcast(known), size, seeds), PAIRS)
+                pairs = scratch.write(_resolved(scratch.write(pairs, f"pairs-{k}"), assigned.where(F.col("c") < cut), size), f"resolved-{k}")
+                scratch.drop(f"pairs-{k}")
+                own_sums = own_sums.where((F.floor((F.col("x") - side * side) / side) < size) & ((F.col("x") - side * side) % side < size))
+                own_sums = own_sums.unionByName(pairs.select((side * side + F.col("lc") * side + F.col("rc")).alias("x"), F.lit(1).cast("long").alias("c")))
+                more = lambda h, free, at, out, cls: pairs.where(F.col(free) & (F.col(out) == size)).select(F.col(h).alias("h"), (side * side + at * side + F.col(cls)).cast("int").alias("x"), F.lit(1).cast("long").alias("c"))
+                found = found.unionByName(more("rh", "r_free", 0, "lx", "lc")).unionByName(more("lh", "l_free", 1, "rx", "rc"))
+            g = _matrix(own_sums.groupBy("x").agg(F.sum("c").alias("c")).toArrow(), size)
+            # Dealt by word once: both sums need no further shuffle. A word has at most (size + 3) * (size + 1) contexts.
+            found = found.repartition("h").groupBy("h", "x").agg(F.sum("c").alias("c"))
             found = found.groupBy("h").agg(F.collect_list(F.struct("x", "c")).alias("found"))
-            assigned = scratch.write(found.mapInArrow(_assign(g), "h long, cls int, c long"), f"assigned-{k}")
+            assigned = scratch.write(found.mapInArrow(_assign(g, k > 0), "h long, cls int, c long"), f"assigned-{k}")
             scratch.drop(f"ties-{k}")
+            scratch.drop(f"resolved-{k}")
             got = assigned.where(F.col("c") >= cut).toArrow()
             known = known.copy()
             at, rank = head.members.find(got.column("h").to_numpy().view(U64))
             known[rank] = got.column("cls").to_numpy()[at]
         told = spark.sparkContext.broadcast(known)
         tail_words = assigned.where(F.col("c") < cut)
-        ties = scratch.write(training.mapInArrow(_tails(shared, told, size), "h long, x int, c long"), "ties")
-        inside = ties.where(F.col("x") >= (size + 1) ** 2)
-        outside = ties.where(F.col("x") < (size + 1) ** 2).join(tail_words.select("h", "cls"), "h")
-        outside = outside.select(((size + 1) ** 2 + F.col("x") * (size + 1) + F.col("cls")).alias("x"), "c")
-        g = _matrix(inside.select("x", "c").unionByName(outside).groupBy("x").agg(F.sum("c").alias("c")).toArrow(), size)
+        inside = training.mapInArrow(_bigrams(shared, told, size), "h long, x int, c long").select("x", "c")
+        pairs = _resolved(scratch.write(training.mapInArrow(_pairs(shared, told, size, seeds), PAIRS), "pairs"), tail_words, size)
+        outside = pairs.select((side * side + F.col("lc") * side + F.col("rc")).alias("x"), F.lit(1).cast("long").alias("c"))
+        g = _matrix(inside.unionByName(outside).groupBy("x").agg(F.sum("c").alias("c")).toArrow(), size)
+        scratch.drop("pairs")
         each = float(np.log10(float(n["tokens"] + n["words"] + 1)))
         # Unseen words have 1 / (tokens + words + 1) in all; the others share the rest.
         cells = (log_transitions(g) - np.log(np.maximum(g.sum(0), 1)) + np.log1p(-1 / (n["tokens"] + n["words"] + 2))) / np.log(10)
         rows = scratch.write(own.mapInArrow(_score(shared, told, cells), SCORES), "rows")
-        tail = rows.select("rid", F.explode("tail").alias("t")).select("rid", "t.h", "t.before", "t.n")
-        tail = tail.join(tail_words, "h", "left")
+        tail = rows.select("rid", F.explode("tail").alias("t")).select("rid", "t.*")
+        # A word that training has never seen has no class: what follows it has no context.
+        tail = _resolved(tail, tail_words, size, "left").select("rid", "n", F.coalesce("lc", F.lit(size)).alias("before"), F.col("rc").alias("cls"), "count", (F.col("rx") == size).alias("out"))
         # (size + 1) * size rows.
         cell = spark.createDataFrame([(p, a, float(cells[p, a])) for p in range(size + 1) for a in range(size)], "before int, cls int, cell double")
         tail = tail.join(F.broadcast(cell), ["before", "cls"], "left")
-        seen = F.col("c").isNotNull()
+        seen = F.col("count").isNotNull()
         logs = tail.groupBy(F.col("rid").alias("tail_id")).agg(
-            F.sum(F.when(seen, F.col("n") * F.log10(F.col("c") + 1)).otherwise(0.0)).alias("more"),
+            F.sum(F.when(seen, F.col("n") * F.log10(F.col("count") + 1)).otherwise(0.0)).alias("more"),
             F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("seen"),
-            F.sum(F.col("n") * F.when(seen, F.col("cell") + F.log10("c")).otherwise(-each)).alias("scored"),
+            F.sum(F.col("n") * F.when(~F.col("out"), F.col("cell")).when(seen, F.col("cell") + F.log10("count")).otherwise(-each)).alias("scored"),
         )
         out = rows.drop("tail").join(logs, F.col("rid") == F.col("tail_id"), "left")
         none = lambda name: F.coalesce(name, F.lit(0))
