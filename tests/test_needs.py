@@ -46,3 +46,13 @@ def test_names_and_blanks_keep_their_meaning(spark):
     heuristic = R.HEURISTIC_NAME.replace(r"([A-Z](?<=[,;:\-–—]\s[A-Z])", r"(?<=[,;:\-–—]\s)([A-Z]")
     same = [F.regexp_extract_all("text", F.lit(new)) == F.regexp_extract_all("text", F.lit(old)) for new, old in ((R.NAME_CHECK, name), (R.HEURISTIC_NAME, heuristic))]
     assert name != R.NAME_CHECK and heuristic != R.HEURISTIC_NAME and df.where(~(same[0] & same[1])).count() == 0
+
+
+def test_group_names_are_looked_for_ahead_before_behind(spark):
+    guard, plain = R.NEEDS_MATCH["GREEK"], rf"(?U)[anuio](?=\s)(?<={R.GREEK.lower()})\s+{R.GREEK.lower()}"
+    assert 0 < guard.find(r"(?=\s+") < guard.index("(?<=")
+    r = random.Random(5)
+    words = [*R.GREEK[3:-1].lower().split("|"), "delt", "pix", "nun", "xa", "etalpha"]
+    df = spark.createDataFrame([("".join(r.choice(words) + r.choice([" ", "  ", "\u00a0", "\n", "", ". "]) for _ in range(r.randrange(1, 6))),) for _ in range(800)], "low string")
+    told = df.select(F.col("low").rlike(guard).alias("new"), F.col("low").rlike(plain).alias("old")).groupBy("new", "old").count().collect()
+    assert {(x["new"], x["old"]) for x in told} == {(True, True), (False, False)}
