@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vellum.llm import classlm, toxicity
@@ -153,3 +154,13 @@ def test_fitted_texts_are_bounded_by_characters(spark, monkeypatch):
     every = len(toxicity.training_rows(docs, labels))
     monkeypatch.setattr(toxicity, "FIT_CHARS", 10_000)
     assert 0 < len(toxicity.training_rows(docs, labels)) <= 40 < every
+
+
+def test_contexts_of_a_word_may_lie_in_several_batches():
+    """Rows of contexts come by word, not collected into lists; where batches end changes nothing."""
+    r = np.random.default_rng(4)
+    g = r.integers(0, 9, (6, 5)).astype(float)
+    h = np.sort(r.integers(0, 12, 300))
+    rows = pa.RecordBatch.from_arrays([pa.array(h), pa.array(r.integers(0, 36 + 12, 300), pa.int32()), pa.array(r.integers(1, 5, 300))], names=["h", "x", "c"])
+    told = lambda step: pa.Table.from_batches(list(classlm._assign(g, True)(rows.slice(k, step) for k in range(0, 300, step)))).to_pylist()
+    assert told(300) == told(1) == told(7) == told(60) and [x["h"] for x in told(300)] == sorted(set(h.tolist()))

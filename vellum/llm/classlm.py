@@ -8,6 +8,8 @@ Words are known by 64-bit hashes. One pass counts every word of the training doc
    training texts counts each word's classes before and after it, and Spark brings a word's counts together and gives it
    the class of the greatest likelihood under the class bigrams of the pass.
 
+Texts are split into words twice, to count words and to store each text as places in the head; all later passes read these.
+
 The HEAD most frequent words (a bounded table of hash, count and class) go to all tasks. Words outside meet their class and
 count in a hash join by word, in training and in scoring, whether they are predicted or are what a word is predicted from: the head
 saves work and changes no context (the words outside are one symbol of the driver's matrix). Only the word after one that
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm._stage import Scratch, checkpointed
-from vellum.llm._words import Members, mix, signed, tally, words
+from vellum.llm._words import Members, signed, tally, words
 
 #: Words in the table that all tasks hold (at most 26 bytes each), words that the driver clusters, and classes.
 HEAD, SEEDS, CLASSES = 1 << 19, 1500, 48
@@ -36,8 +38,8 @@ HEAD, SEEDS, CLASSES = 1 << 19, 1500, 48
 EXCHANGE_ROUNDS, SPARK_ROUNDS = 8, 2
 #: Weight of the class bigram against the class unigram.
 BIGRAM_WEIGHT = 0.95
-#: Distinct words that a task holds before it passes partial counts on.
-PARTIAL_WORDS = 1 << 20
+#: Distinct words that a task holds before it passes partial counts on, contexts likewise, and tokens of a step (workers' memory).
+PARTIAL_WORDS, PARTIAL_CONTEXTS, CHUNK_TOKENS = 1 << 20, 1 << 20, 1 << 17
 U64 = np.uint64
 #: Stands for the end of a text, which is a token; no word has this hash (words are hashed with their length).
 END = U64(0x0E4D0E4D0E4D0E4D)
@@ -91,18 +93,49 @@ def make_head(h: np.ndarray, c: np.ndarray, clustered: int) -> Head:
     return Head(Members(h), c[by_hash], symbols[by_hash].astype(np.int64), k + len(bands) + 1)
 
 
+TOKENS = "doc_id long, place array<int>, tail array<long>"
+
+
+def _place(head):
+    """Each text as the places of its tokens in the head (the end is the last token), and the hashes of those outside in order."""
+
+    def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in TOKENS.split(", ")]
+        outside = len(head.value.counts)
+        for batch in batches:
+            for lo, hi, h, first in words(batch.column("text")):
+                tokens, at = with_ends(h, first)
+                place = head.value.places(tokens)
+                out = np.flatnonzero(place == outside)
+                lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)) for offsets, values in ((at, place.astype(np.int32)), (np.searchsorted(out, at), signed(tokens[out])))]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), *lists], names=names)
+
+    return of
+
+
+def _stored(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """(doc_id, places, index of each text's first token (one more at the end), hashes of tokens outside the head), chunk by chunk."""
+    for batch in batches:
+        lists, tails = batch.column("place"), batch.column("tail")
+        offs, tail_offs = lists.offsets.to_numpy(), tails.offsets.to_numpy()
+        values, hashes = lists.values.to_numpy(), tails.values.to_numpy().view(U64)
+        lo, n = 0, batch.num_rows
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + CHUNK_TOKENS, "right")) - 1)
+            yield batch.column("doc_id").slice(lo, hi - lo), values[offs[lo] : offs[hi]].astype(np.int64), offs[lo : hi + 1].astype(np.int64) - offs[lo], hashes[tail_offs[lo] : tail_offs[hi]]
+            lo = hi
+
+
 def _count_bigrams(head) -> object:
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = head.value.n_symbols
+        symbols = np.append(head.value.symbols, n - 1)
         total = np.zeros(n * n, np.int64)
-        for batch in batches:
-            for _, _, h, first in words(batch.column("text")):
-                tokens, at = with_ends(h, first)
-                symbol = np.append(head.value.symbols, n - 1)[head.value.places(tokens)]
-                before = np.roll(symbol, 1)
-                before[at[:-1]] = 0  # a text follows an end
-                pair, c = np.unique(before * n + symbol, return_counts=True)
-                total[pair] += c
+        for _, place, at, _ in _stored(batches):
+            symbol = symbols[place]
+            before = np.roll(symbol, 1)
+            before[at[:-1]] = 0  # a text follows an end
+            total += np.bincount(before * n + symbol, minlength=n * n)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["pair", "c"])
 
@@ -163,63 +196,53 @@ def exchange(bigrams: np.ndarray, clustered: int, classes: int, rounds: int = EX
     return cls
 
 
-def _summed(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """(h, x, c): how often each pair of a hash and a small number comes, in bounded memory (a pair may come again)."""
-
-    def merge(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, x, c = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        key = mix(h ^ mix(x.astype(U64)))
-        order = np.argsort(key)
-        first = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
-        return h[order][first], x[order][first], np.add.reduceat(c[order], first) if len(first) else c
-
-    def out(total: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(signed(total[0])), pa.array(total[1], pa.int32()), pa.array(total[2])], names=["h", "x", "c"])
-
-    held: list = []
-    size = 0
-    for h, x in parts:
-        held.append(merge([(h, x.astype(np.int64), np.ones(len(h), np.int64))]))
-        size += len(held[-1][0])
-        if size > PARTIAL_WORDS:
-            held = [merge(held)]
-            size = len(held[0][0])
-            if size > PARTIAL_WORDS // 2:
-                yield out(held[0])
-                held, size = [], 0
-    if held:
-        yield out(merge(held))
+def _classed(batches: Iterable[pa.RecordBatch], known: np.ndarray) -> Iterator[tuple]:
+    """(doc_id, index of each text's first token, place in the head, hashes outside, class, class before) of all tokens, chunk by chunk.
 
+    A text follows an end (class 0). known: class by place in the head, and that of words outside."""
+    for doc_id, place, at, tail in _stored(batches):
+        cls = known[place].astype(np.int64)
+        before = np.roll(cls, 1)
+        before[at[:-1]] = 0
+        yield doc_id, at, place, tail, cls, before
 
-def _classed(batches: Iterable[pa.RecordBatch], head: Head, known: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(hash, place in the head, class, class before) of all tokens, chunk by chunk. A text follows an end (class 0).
 
-    known: class by place in the head, and that of words outside."""
-    for batch in batches:
-        for _, _, h, first in words(batch.column("text")):
-            tokens, at = with_ends(h, first)
-            place = head.places(tokens)
-            cls = known[place].astype(np.int64)
-            before = np.roll(cls, 1)
-            before[at[:-1]] = 0
-            yield tokens, place, cls, before
+def _hashes(head: Head, place: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    h = np.append(head.members.keys, U64(0))[place]
+    h[place == len(head.counts)] = tail
+    return h
 
 
 def _contexts(head, known, size: int, seeds: int):
-    """Of each word that is no seed, the classes on both sides: x is before * (size + 1) + after. And from squares on,
-    without a hash, the bigrams of classes. Class `size` is that of words without one yet, and of those outside the head."""
+    """Of each word that is no seed, the classes on both sides (h, x, c): x is before * (size + 1) + after. A pair may come again.
+
+    Class `size` is that of words without one yet, and of those outside the head."""
     side = size + 1
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free = np.append(head.value.symbols >= seeds, True)
-
-        def parts():
-            for tokens, place, cls, before in _classed(batches, head.value, known.value):
-                own = np.flatnonzero(free[place])
-                yield tokens[own], before[own] * side + np.roll(cls, -1)[own]
-                yield np.zeros(len(cls), U64), side * side + before * side + cls
-
-        yield from _summed(parts())
+        model = head.value
+        outside = len(model.counts)
+        free = np.append(model.symbols >= seeds, False)
+        out = lambda h, x, c: pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(x, pa.int32()), pa.array(c)], names=["h", "x", "c"])
+
+        def summed(held: list) -> pa.RecordBatch:
+            key, c = np.unique(np.concatenate(held), return_counts=True)
+            return out(model.members.keys[key // side**2], key % side**2, c)
+
+        held: list = []
+        size_held = 0
+        for _, _, place, tail, cls, before in _classed(batches, known.value):
+            x = before * side + np.roll(cls, -1)
+            own = free[place]
+            held.append(place[own] * side**2 + x[own])
+            size_held += len(held[-1])
+            if size_held > PARTIAL_CONTEXTS:
+                yield summed(held)
+                held, size_held = [], 0
+            if len(tail):
+                yield out(tail, x[place == outside], np.ones(len(tail), np.int64))
+        if held:
+            yield summed(held)
 
     return of
 
@@ -232,7 +255,8 @@ def _pairs(head, known, size: int, seeds: int):
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free = np.append(head.value.symbols >= seeds, True)
-        for tokens, place, cls, before in _classed(batches, head.value, known.value):
+        for _, _, place, tail, cls, before in _classed(batches, known.value):
+            tokens = _hashes(head.value, place, tail)
             at = np.flatnonzero((cls == size) | (before == size))
             # Before a text's first token stands the end, as before the array's first.
             cols = [signed(tokens[at - 1]), signed(tokens[at]), before[at].astype(np.int32), cls[at].astype(np.int32), free[place[at - 1]], free[place[at]]]
@@ -256,17 +280,18 @@ def _resolved(pairs: DataFrame, classes: DataFrame, size: int, how: str = "inner
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _bigrams(head, known, size: int):
-    """Bigrams of classes as _contexts has them, of words in the head alone."""
+def _bigrams(known, size: int, inside: bool):
+    """Bigrams of classes (x: before * (size + 1) + class, c); inside: of words that both have a class."""
     side = size + 1
 
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts():
-            for _, _, cls, before in _classed(batches, head.value, known.value):
-                x = side * side + (before * side + cls)[(before < size) & (cls < size)]
-                yield np.zeros(len(x), U64), x
-
-        yield from _summed(parts())
+        total = np.zeros((side, side), np.int64)
+        for *_, cls, before in _classed(batches, known.value):
+            total += np.bincount(before * side + cls, minlength=side * side).reshape(side, side)
+        if inside:
+            total[size] = total[:, size] = 0
+        x = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(total.ravel()[x])], names=["x", "c"])
 
     return of
 
@@ -283,33 +308,46 @@ def log_transitions(g: np.ndarray) -> np.ndarray:
 
 
 def _assign(g: np.ndarray, told: bool):
-    """The best class of each word (h, found: x and c) under class bigrams g: (h, cls, c).
+    """The best class of each word under class bigrams g (h, cls, c) from its contexts (h, x, c), which come in order of h.
 
     x from squares on: the class of one neighbour outside the head, before (then after, a side later). told: whether these
     are there; if not, no class is known of such neighbours."""
     size = g.shape[1]
+    side = size + 1
     log_p, log_n = log_transitions(g), np.log(np.maximum(g.sum(0), 1))
 
+    def best(h: np.ndarray, x: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, h[1:] != h[:-1])
+        row, n = np.cumsum(new) - 1, int(new.sum())
+        table = lambda k, row, c: np.bincount(row * side + k, c, n * side).reshape(n, side)
+        both = x < side**2
+        before, after = table(x[both] // side, row[both], c[both]), table(x[both] % side, row[both], c[both])
+        times = before.sum(1, keepdims=True)
+        if told:
+            before[:, size] = 0
+            row, c = row[~both], c[~both]
+            after_it, cls = np.divmod(x[~both] - side**2, side)
+            for k, counts in enumerate((before, after)):
+                counts += table(cls[after_it == k], row[after_it == k], c[after_it == k])
+        gain = before @ log_p + after[:, :size] @ log_p[:size].T - times * log_n
+        cls = 1 + np.argmax(gain[:, 1:], 1)  # class 0 is the end's alone
+        return pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(cls, pa.int32()), pa.array(times[:, 0].astype(np.int64))], names=["h", "cls", "c"])
+
     def of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                found, n = part.column("found"), part.num_rows
-                flat = found.flatten()
-                x, c = flat.field("x").to_numpy(), flat.field("c").to_numpy().astype(float)
-                row = np.repeat(np.arange(n), pc.list_value_length(found).to_numpy())
-                table = lambda k, row, c, n=n: np.bincount(row * (size + 1) + k, c, n * (size + 1)).reshape(n, size + 1)
-                one = np.flatnonzero(x < (size + 1) ** 2)
-                before, after = table(x[one] // (size + 1), row[one], c[one]), table(x[one] % (size + 1), row[one], c[one])
-                times = before.sum(1, keepdims=True)
-                if told:
-                    before[:, size] = 0
-                    own, cls = np.divmod(np.delete(x, one) - (size + 1) ** 2, size + 1)
-                    for k, side in enumerate((before, after)):
-                        side += table(cls[own == k], np.delete(row, one)[own == k], np.delete(c, one)[own == k])
-                gain = before @ log_p + after[:, :size] @ log_p[:size].T - times * log_n
-                cls = 1 + np.argmax(gain[:, 1:], 1)  # class 0 is the end's alone
-                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(cls, pa.int32()), pa.array(times[:, 0].astype(np.int64))], names=["h", "cls", "c"])
+            if not batch.num_rows:
+                continue
+            part = [batch.column("h").to_numpy(), batch.column("x").to_numpy().astype(np.int64), batch.column("c").to_numpy().astype(float)]
+            # The last word may go on in the next batch.
+            last = int(np.searchsorted(part[0], part[0][-1]))
+            if last or held and held[-1][0][0] != part[0][0]:
+                held.append([v[:last] for v in part])
+                yield best(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            held.append([v[last:] for v in part])
+        if held:
+            yield best(*map(np.concatenate, zip(*held, strict=True)))
 
     return of
 
@@ -330,33 +368,28 @@ def _score(head, known, cells) -> object:
         table[size] = 0
         count = np.append(model.counts, 0)
         log_count, log_more = np.log10(np.maximum(count, 1)), np.log10(count + 1.0)
-        for batch in batches:
-            for lo, hi, h, first in words(batch.column("text")):
-                tokens, at = with_ends(h, first)
-                n = hi - lo
-                place = model.places(tokens)
-                c = known.value[place].astype(np.int64)
-                before = np.roll(c, 1)
-                before[at[:-1]] = 0
-                row = np.repeat(np.arange(n), np.diff(at))
-                by = lambda x, row=row, n=n: np.bincount(row, x, n)
-                # Words outside the head and those after them, once for each text and word before, with their number there.
-                out = np.flatnonzero((c == size) | (before == size))
-                lh, rh = np.where(before[out] == size, tokens[out - 1], U64(0)), np.where(c[out] == size, tokens[out], U64(0))
-                keys = [row[out], lh, rh, before[out], c[out]]
-                order = np.lexsort(keys[::-1])
-                keys = [k[order] for k in keys]
-                new = np.ones(len(order), bool)
-                new[1:] = np.any([k[1:] != k[:-1] for k in keys], 0)
-                at_new = np.flatnonzero(new)
-                times = np.diff(np.append(at_new, len(order)))
-                offsets = np.searchsorted(keys[0][at_new], np.arange(n + 1))
-                lh, rh, lx, rx = (k[at_new] for k in keys[1:])
-                tail = pa.StructArray.from_arrays([pa.array(signed(lh)), pa.array(signed(rh)), pa.array(lx, pa.int32()), pa.array(rx, pa.int32()), pa.array(times)], names=["lh", "rh", "lx", "rx", "n"])
-                sums = [by(x) for x in ((c != size).astype(float), log_more[place], table[before, c] + log_count[place])]
-                cols = [pa.array(np.arange(rid, rid + n)), batch.column("doc_id").slice(lo, n).cast(pa.int64()), pa.array(np.diff(at)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)]
-                rid += n
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        for doc_id, at, place, outside, c, before in _classed(batches, known.value):
+            tokens = _hashes(model, place, outside)
+            n = len(doc_id)
+            row = np.repeat(np.arange(n), np.diff(at))
+            by = lambda x, row=row, n=n: np.bincount(row, x, n)
+            # Words outside the head and those after them, once for each text and word before, with their number there.
+            out = np.flatnonzero((c == size) | (before == size))
+            lh, rh = np.where(before[out] == size, tokens[out - 1], U64(0)), np.where(c[out] == size, tokens[out], U64(0))
+            keys = [row[out], lh, rh, before[out], c[out]]
+            order = np.lexsort(keys[::-1])
+            keys = [k[order] for k in keys]
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([k[1:] != k[:-1] for k in keys], 0)
+            at_new = np.flatnonzero(new)
+            times = np.diff(np.append(at_new, len(order)))
+            offsets = np.searchsorted(keys[0][at_new], np.arange(n + 1))
+            lh, rh, lx, rx = (k[at_new] for k in keys[1:])
+            tail = pa.StructArray.from_arrays([pa.array(signed(lh)), pa.array(signed(rh)), pa.array(lx, pa.int32()), pa.array(rx, pa.int32()), pa.array(times)], names=["lh", "rh", "lx", "rx", "n"])
+            sums = [by(x) for x in ((c != size).astype(float), log_more[place], table[before, c] + log_count[place])]
+            cols = [pa.array(np.arange(rid, rid + n)), doc_id, pa.array(np.diff(at)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)]
+            rid += n
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return of
 
@@ -379,7 +412,7 @@ def head_cut(counts: DataFrame, most: int) -> int:
 def _matrix(rows: pa.Table, size: int) -> np.ndarray:
     """Counts by class before (the last: none known) and class, from rows (x, c) of class bigrams."""
     g = np.zeros((size + 1) ** 2)
-    np.add.at(g, rows.column("x").to_numpy() - (size + 1) ** 2, rows.column("c").to_numpy())
+    np.add.at(g, rows.column("x").to_numpy(), rows.column("c").to_numpy())
     return g.reshape(size + 1, size + 1)[:, :size]
 
 
@@ -404,6 +437,8 @@ def score_documents(documents: DataFrame, most: int = HEAD, clustered: int = SEE
             h, c = np.append(h, END), np.append(c, ends)
         head = make_head(h, c, clustered)
         shared = spark.sparkContext.broadcast(head)
+        tokens = scratch.write(own.mapInArrow(_place(shared), TOKENS), "tokens")
+        training = tokens.where(~held_out(F.col("doc_id")))
         pairs = training.mapInArrow(_count_bigrams(shared), "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()
         bigrams = np.zeros(head.n_symbols**2)
         bigrams[pairs.column("pair").to_numpy()] = pairs.column("c").to_numpy()
@@ -415,24 +450,19 @@ def score_documents(documents: DataFrame, most: int = HEAD, clustered: int = SEE
         known[is_seed] = cls[head.symbols[is_seed]]
         side = size + 1
         for k in range(rounds):
-            ties = training.mapInArrow(_contexts(shared, spark.sparkContext.broadcast(known), size, seeds), "h long, x int, c long")
-            ties = scratch.write(ties, f"ties-{k}")
-            own_bigrams = F.col("x") >= (size + 1) ** 2
-            own_sums, found = ties.where(own_bigrams).select("x", "c"), ties.where(~own_bigrams)
+            sent = spark.sparkContext.broadcast(known)
+            own_sums = training.mapInArrow(_bigrams(sent, size, k > 0), "x int, c long")
+            found = training.mapInArrow(_contexts(shared, sent, size, seeds), "h long, x int, c long")
             if k:  # Words outside the head have a class since the first round.
-                pairs = training.mapInArrow(_pairs(shared, spark.sparkContext.broadcast(known), size, seeds), PAIRS)
+                pairs = training.mapInArrow(_pairs(shared, sent, size, seeds), PAIRS)
                 pairs = scratch.write(_resolved(scratch.write(pairs, f"pairs-{k}"), assigned.where(F.col("c") < cut), size), f"resolved-{k}")
                 scratch.drop(f"pairs-{k}")
-                own_sums = own_sums.where((F.floor((F.col("x") - side * side) / side) < size) & ((F.col("x") - side * side) % side < size))
-                own_sums = own_sums.unionByName(pairs.select((side * side + F.col("lc") * side + F.col("rc")).alias("x"), F.lit(1).cast("long").alias("c")))
+                own_sums = own_sums.unionByName(pairs.select((F.col("lc") * side + F.col("rc")).alias("x"), F.lit(1).cast("long").alias("c")))
                 more = lambda h, free, at, out, cls: pairs.where(F.col(free) & (F.col(out) == size)).select(F.col(h).alias("h"), (side * side + at * side + F.col(cls)).cast("int").alias("x"), F.lit(1).cast("long").alias("c"))
                 found = found.unionByName(more("rh", "r_free", 0, "lx", "lc")).unionByName(more("lh", "l_free", 1, "rx", "rc"))
             g = _matrix(own_sums.groupBy("x").agg(F.sum("c").alias("c")).toArrow(), size)
-            # Dealt by word once: both sums need no further shuffle. A word has at most (size + 3) * (size + 1) contexts.
-            found = found.repartition("h").groupBy("h", "x").agg(F.sum("c").alias("c"))
-            found = found.groupBy("h").agg(F.collect_list(F.struct("x", "c")).alias("found"))
+            found = found.repartition("h").sortWithinPartitions("h")
             assigned = scratch.write(found.mapInArrow(_assign(g, k > 0), "h long, cls int, c long"), f"assigned-{k}")
-            scratch.drop(f"ties-{k}")
             scratch.drop(f"resolved-{k}")
             got = assigned.where(F.col("c") >= cut).toArrow()
             known = known.copy()
@@ -440,15 +470,15 @@ def score_documents(documents: DataFrame, most: int = HEAD, clustered: int = SEE
             known[rank] = got.column("cls").to_numpy()[at]
         told = spark.sparkContext.broadcast(known)
         tail_words = assigned.where(F.col("c") < cut)
-        inside = training.mapInArrow(_bigrams(shared, told, size), "h long, x int, c long").select("x", "c")
+        inside = training.mapInArrow(_bigrams(told, size, True), "x int, c long")
         pairs = _resolved(scratch.write(training.mapInArrow(_pairs(shared, told, size, seeds), PAIRS), "pairs"), tail_words, size)
-        outside = pairs.select((side * side + F.col("lc") * side + F.col("rc")).alias("x"), F.lit(1).cast("long").alias("c"))
+        outside = pairs.select((F.col("lc") * side + F.col("rc")).alias("x"), F.lit(1).cast("long").alias("c"))
         g = _matrix(inside.unionByName(outside).groupBy("x").agg(F.sum("c").alias("c")).toArrow(), size)
         scratch.drop("pairs")
         each = float(np.log10(float(n["tokens"] + n["words"] + 1)))
         # Unseen words have 1 / (tokens + words + 1) in all; the others share the rest.
         cells = (log_transitions(g) - np.log(np.maximum(g.sum(0), 1)) + np.log1p(-1 / (n["tokens"] + n["words"] + 2))) / np.log(10)
-        rows = scratch.write(own.mapInArrow(_score(shared, told, cells), SCORES), "rows")
+        rows = scratch.write(tokens.mapInArrow(_score(shared, told, cells), SCORES), "rows")
         tail = rows.select("rid", F.explode("tail").alias("t")).select("rid", "t.*")
         # A word that training has never seen has no class: what follows it has no context.
         tail = _resolved(tail, tail_words, size, "left").select("rid", "n", F.coalesce("lc", F.lit(size)).alias("before"), F.col("rc").alias("cls"), "count", (F.col("rx") == size).alias("out"))
