@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pytest
 
 from vellum.operators import dedup, similarity
+from vellum.session import Tables
 
 T = dedup.THRESHOLD
 WORDS = [a + b for a in ("an", "the", "ing", "er", "on", "st") for b in ("re", "ti", "ed", "or", "kz", "ly")]
@@ -131,3 +132,23 @@ def test_empty_tables_and_thresholds(spark):
     assert [tuple(x) for x in dedup.near_duplicates(one).collect()] == [(1, True, None)]
     with pytest.raises(ValueError):
         dedup.near_duplicates(one, threshold=0.8)
+
+
+def test_ranges_of_lengths_miss_no_pair_and_keep_no_rows(spark, monkeypatch):
+    """However narrow the ranges are, the outcome is the same; rows of n-grams are in no table."""
+    r = random.Random(8)
+    base = ["".join(r.choice("abcdefgh ijklm nopqrst uvwxyz0123456789") for _ in range(n)) for n in (60, 100, 117, 240, 300, 300, 900)]
+    rows = list(enumerate([*base, *(b[: len(b) // 2] + "#" * (len(b) // 16) + b[len(b) // 2 :] for b in base), *(b[len(b) // 30 :] for b in base)]))
+    df = spark.createDataFrame(rows, "key long, text string")
+    written = []
+    write = Tables.write
+    monkeypatch.setattr(Tables, "write", lambda self, df, name: (written.append(df.columns), write(self, df, name))[1])
+    pairs = {}
+    for least in (1 << 24, 1):
+        monkeypatch.setattr(similarity, "LEAST_ROWS", least)
+        pairs[least] = {tuple(x) for x in dedup.near_duplicate_pairs(df).collect()}
+    want = {(a, b) for a, x in rows for b, y in rows if b < a and SequenceMatcher(None, " ".join(x.split()), " ".join(y.split())).ratio() >= T}
+    assert pairs[1] == pairs[1 << 24] == want and len(want) >= 14 and not any("gram" in c for c in written)
+    steps = {k: 10 for k in range(200)}
+    got = similarity.cut_ranges(steps, steps, 400, 10)
+    assert [k for lo, hi in got for k in range(lo, hi + 1)] == list(range(200)) and len(got) > 4
