@@ -187,13 +187,13 @@ def skills_by_id(texts: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     return per.select("candidate_id", F.create_map(*(x for c in taxonomy.names for x in (F.lit(c), of(c)))).alias("skills"))
 
 
-def parse_texts(df: DataFrame, taxonomy: Taxonomy, as_of: date) -> DataFrame:
-    """candidate_id, parsed_at, quality_score, parse_warnings, sections from candidate_id and text; blank texts are left out.
+def parse_texts(df: DataFrame, taxonomy: Taxonomy, as_of: date, blank: Callable[[Column], Column] = is_blank) -> DataFrame:
+    """candidate_id, parsed_at, quality_score, parse_warnings, sections from candidate_id and text; texts that are blank(text) are left out.
 
     A text without skills section is searched whole. Ids are distinct. Sections and roles are expressions; a taxonomy of
     TABLE_FROM spellings or more is matched in a join.
     """
-    own = df.where(~is_blank(F.col("text"))).select("candidate_id", "text")
+    own = df.where(~blank(F.col("text"))).select("candidate_id", "text")
     none = F.array()
     joined = len(taxonomy.spellings()) >= TABLE_FROM
     if joined:

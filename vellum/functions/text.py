@@ -96,3 +96,10 @@ def fixed(c: Column, places: int) -> Column:
 def rounded(c: Column, places: int) -> Column:
     """Rounded on the exact binary value, half to even; round() goes by the shortest decimal, half up."""
     return fixed(c, places).cast("double")
+
+
+def sql_round(c: Column, places: int) -> Column:
+    """Rounded as DuckDB does, half away from zero after scaling. Ties come out otherwise in round(), and zero loses its sign
+    there: -0.0000003 is told as -0.0000."""
+    near = F.round(c * 10.0**places) / 10.0**places
+    return F.when(near == 0, c * 0.0).otherwise(near)

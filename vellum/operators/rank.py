@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import scoring as S
-from vellum.functions.text import is_blank
+from vellum.functions.text import is_blank, sql_round
 from vellum.session import checkpointed
 
 
@@ -28,18 +30,22 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     return dealt.join(F.broadcast(shift), "_part").withColumn(name, (F.col("_at") + F.col("_before") + 1).cast("int")).drop("_at", "_part", "_before")
 
 
-def semantic_scores(vectors: DataFrame, query: DataFrame, key: str = "candidate_id") -> DataFrame:
-    """key, semantic_score: cosine of each vector (key, embedding) to the one row of query (embedding); 0.5 without length."""
+def semantic_scores(vectors: DataFrame, query: DataFrame, key: str = "candidate_id", without: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """key, semantic_score: cosine of each vector (key, embedding) to the one row of query (embedding).
+
+    Where either has no length: without(vector, query), 0.5 if None.
+    """
     one = query.select(F.col("embedding").alias("query")).limit(1)
-    return vectors.crossJoin(F.broadcast(one)).select(key, F.coalesce(S.cosine(F.col("embedding"), F.col("query")), F.lit(S.DEFAULT_SEMANTIC)).alias("semantic_score"))
+    pair = F.col("embedding"), F.col("query")
+    return vectors.crossJoin(F.broadcast(one)).select(key, F.coalesce(S.cosine(*pair), without(*pair) if without else F.lit(S.DEFAULT_SEMANTIC)).alias("semantic_score"))
 
 
-def score_candidates(texts: DataFrame, parsed: DataFrame, job: list[str], semantic: DataFrame | None = None) -> DataFrame:
+def score_candidates(texts: DataFrame, parsed: DataFrame, job: list[str], semantic: DataFrame | None = None, keep_blank: bool = False) -> DataFrame:
     """Unranked scores of candidates (candidate_id, text): parsed (candidate_id, skills array, quality_score) joined left.
 
-    A candidate without parsed record has no matched skills and quality 0.5. Blank texts are left out.
+    A candidate without parsed record has no matched skills and quality 0.5. Blank texts are left out unless keep_blank.
     """
-    own = texts.where(~is_blank(F.col("text"))).select("candidate_id")
+    own = (texts if keep_blank else texts.where(~is_blank(F.col("text")))).select("candidate_id")
     own = own.join(parsed.select("candidate_id", "skills", "quality_score", F.lit(True).alias("is_parsed")), "candidate_id", "left")
     own = own.join(semantic, "candidate_id", "left") if semantic is not None else own.withColumn("semantic_score", F.lit(None).cast("double"))
     jobs = F.array(*map(F.lit, job)) if job else F.array().cast("array<string>")
@@ -58,5 +64,5 @@ def score_candidates(texts: DataFrame, parsed: DataFrame, job: list[str], semant
 def rank_candidates(scores: DataFrame) -> DataFrame:
     """RANKING rows: by unrounded final score, highest first, ties by candidate_id; scores rounded to 6 places after."""
     ranked = global_rank(scores, F.col("raw").desc(), F.col("candidate_id").asc())
-    r = lambda c: F.round(c, 6)
+    r = lambda c: sql_round(F.col(c), 6)
     return ranked.select("candidate_id", r("raw").alias("final_score"), r("sem").alias("semantic_score"), r("kw").alias("keyword_score"), r("q").alias("quality_score"), "matched_skills", "missing_skills", "jd_skill_count", "rank")

@@ -33,8 +33,8 @@ def neighbours(ranking: DataFrame) -> DataFrame:
 
 
 def csv_rows(explanations: DataFrame) -> DataFrame:
-    """The ten columns of the ranking export, as text."""
-    f = lambda c: fixed(F.coalesce(F.col(c), F.lit(0.0)), 4)
+    """The ten columns of the ranking export, as text; a score that is not a number is told as nan."""
+    f = lambda c: F.when(F.isnan(c), "nan").otherwise(fixed(F.coalesce(F.col(c), F.lit(0.0)), 4))
     b, s = "explanation.score_breakdown", "explanation.skills"
     return explanations.select(
         F.col("rank").cast("string").alias("Rank"), F.col("candidate_id").alias("Candidate ID"), f("final_score").alias("Final Score"), F.col("verdict").alias("Verdict"),
