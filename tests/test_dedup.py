@@ -152,3 +152,42 @@ def test_ranges_of_lengths_miss_no_pair_and_keep_no_rows(spark, monkeypatch):
     steps = {k: 10 for k in range(200)}
     got = similarity.cut_ranges(steps, steps, 400, 10)
     assert [k for lo, hi in got for k in range(lo, hi + 1)] == list(range(200)) and len(got) > 4
+
+
+def test_ratios_are_given_up_only_where_difflib_stays_below():
+    r, seen = random.Random(11), set()
+    for k in range(300):
+        b = prose(r, r.choice((1, 5, 40, 90))) + "é" * (k % 3)
+        a = r.choice(("", "z", "é", "k ")) + edited(r, b, r.choice((0.0, 0.005, 0.02, 0.06)))
+        ratio = SequenceMatcher(None, a, b).ratio()
+        seen.add((ratio >= T, ratio > 0.5))
+        for threshold in (T, ratio, ratio + 1e-9):
+            assert similarity.reaches(a, b, threshold) == (ratio >= threshold)
+    assert {(True, True), (False, True), (False, False)} <= seen
+
+
+def test_pairs_share_as_many_of_the_ngrams_taken_and_few_others_meet(spark):
+    """Long texts: pairs share what the bounds say of the n-grams taken, which are few; texts that share a passage of 120 characters are no candidates."""
+    import numpy as np
+
+    r, families, taken = random.Random(12), set(), []
+    for k in range(120):
+        b = prose(r, 150) + "".join(chr(0x430 + r.randrange(30)) for _ in range((0, 20, 60, 110)[k % 4]))
+        a = edited(r, b, r.choice((0.0, 0.005, 0.02)))
+        if SequenceMatcher(None, a, b).ratio() < T:
+            continue
+        codes = similarity.points(b)
+        family, rare = similarity.family_of(codes)
+        q, w, *_ = similarity.FAMILIES[family]
+        x, y = similarity.grams(similarity.points(a), q, w), similarity.grams(codes, q, w)
+        assert len(np.intersect1d(x, y)) >= similarity.shared_at_least(family, len(a) + len(b), rare, T) >= 1
+        families.add(family)
+        taken.append(len(y) / len(b))
+    assert len(families) >= 3 and min(taken) < 0.3
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    words = lambda n: " ".join("".join(r.choice(alphabet) for _ in range(5)) for _ in range(n))
+    passage = words(20)
+    rows = [(k, f"{words(150)} {passage} {words(150)}") for k in range(12)]
+    tables = Tables(spark)
+    index = similarity.Index(tables, tables.write(similarity.normal(spark.createDataFrame(rows, "key long, text string")), "texts"))
+    assert index.candidates().count() == 0
